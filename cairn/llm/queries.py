@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from .licenses import ORACLE as LICENSES_ORACLE
+from .licenses import licenses_query
+from .packing import packing_query
 from .pii import pii_query
 from .quality_rules import rules_query
 from .simhash import simhash_query
@@ -9,10 +12,12 @@ from .site_quality import quality_query
 from .toxicity import toxicity_query
 
 QUERIES = {
+    "op1_licenses": licenses_query,
     "op2_quality_rules": rules_query,
     "op3_pii": pii_query,
+    "op4_packing": packing_query,
     "op5_quality_classifier": quality_query,
     "op6_simhash": simhash_query,
     "op10_toxicity": toxicity_query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_licenses": LICENSES_ORACLE}
