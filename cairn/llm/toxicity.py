@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import encoded, fold, labels_of, table
+from .common import encoded, fold, labels_of, table, thinned
 
 BITS = 20
 SAMPLE, PASSES = 8000, 8
@@ -103,7 +103,7 @@ def train(rows: list[tuple[str | None, int]], passes: int = PASSES) -> tuple[np.
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[tuple[str | None, int]]:
     """The sample: chosen among the labels' ids first, so that only its texts move."""
     known = labels_of(labels, "toxic").where(fold() != 0)
-    ids = known.select("doc_id", "__label", F.xxhash64("doc_id").alias("__h")).orderBy("__h", "doc_id").limit(sample)
+    ids = thinned(known, sample).select("doc_id", "__label", "__h").orderBy("__h", "doc_id").limit(sample)
     picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most `sample` rows of numbers
     return [(r.text, r["__label"]) for r in picked.orderBy("__h", "doc_id", "text").limit(2 * sample).collect()]
 
