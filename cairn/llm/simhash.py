@@ -116,6 +116,13 @@ def pair_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
+def first_kind(x: Column) -> Column:
+    """Of the kinds of keys that a pair with difference x is sure to share, the first: only that one reports the pair."""
+    errors = [F.bit_count(x.bitwiseAND(F.lit((((1 << n) - 1) << at) - (1 << 64 if at + n == 64 else 0)))) for at, n in SEGMENTS]
+    ordered = [(a, b) for a in range(3) for b in range(3) if a != b]
+    return F.coalesce(*[F.when((errors[a] == 0) & (errors[b] <= 2), F.lit(k)) for k, (a, b) in enumerate(ordered)], F.lit(len(ordered)))
+
+
 def exploded(batches):
     for batch in batches:
         fp = np.asarray(batch.column(0))
@@ -130,7 +137,8 @@ def links(fps: DataFrame) -> DataFrame:
     keyed = fps.mapInArrow(exploded, T.StructType([T.StructField("key", T.LongType()), T.StructField("fp", T.LongType())]))
     keyed = materialise(keyed, "golay-keys")
     a, b = keyed.select("key", F.col("fp").alias("u")), keyed.select("key", F.col("fp").alias("v"))
-    found = a.join(b, "key").where((F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= DISTANCE))
+    x = F.col("u").bitwiseXOR(F.col("v"))
+    found = a.join(b, "key").where((F.col("u") < F.col("v")) & (F.bit_count(x) <= DISTANCE) & (F.shiftright("key", 40) == first_kind(x)))
     return found.select("u", "v").distinct()
 
 
