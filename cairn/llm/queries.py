@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .edit_sketch import sketch_query
 from .licenses import ORACLE as LICENSES_ORACLE
 from .licenses import licenses_query
 from .packing import packing_query
@@ -10,6 +11,8 @@ from .quality_rules import rules_query
 from .simhash import simhash_query
 from .site_quality import quality_query
 from .toxicity import toxicity_query
+from .warc import ORACLE as WARC_ORACLE
+from .warc import warc_query
 
 QUERIES = {
     "op1_licenses": licenses_query,
@@ -18,6 +21,8 @@ QUERIES = {
     "op4_packing": packing_query,
     "op5_quality_classifier": quality_query,
     "op6_simhash": simhash_query,
+    "op8_edit_sketch": sketch_query,
+    "op9_warc": warc_query,
     "op10_toxicity": toxicity_query,
 }
-ORACLES: dict[str, str] = {"op1_licenses": LICENSES_ORACLE}
+ORACLES: dict[str, str] = {"op1_licenses": LICENSES_ORACLE, "op9_warc": WARC_ORACLE}
