@@ -8,6 +8,7 @@ from .licenses import licenses_query
 from .packing import packing_query
 from .pii import pii_query
 from .quality_rules import rules_query
+from .sentencepiece_stream import sentencepiece_query
 from .simhash import simhash_query
 from .site_quality import quality_query
 from .toxicity import toxicity_query
@@ -21,6 +22,7 @@ QUERIES = {
     "op4_packing": packing_query,
     "op5_quality_classifier": quality_query,
     "op6_simhash": simhash_query,
+    "op7_sentencepiece": sentencepiece_query,
     "op8_edit_sketch": sketch_query,
     "op9_warc": warc_query,
     "op10_toxicity": toxicity_query,
