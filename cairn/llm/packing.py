@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from .common import encoded, materialise, table
 
 WINDOW, OPEN, MERGED_TASKS, END_ID = 4096, 16, 64, 2
-MOST_WORDS, LONGEST_WORD = 1_000_000, 48
+MOST_WORDS, LONGEST_WORD = 400_000, 48
 #: Bytes of text in work at once, and of ids in one batch of output.
 WORK, OUT = 1 << 22, 1 << 22
 
@@ -80,9 +80,6 @@ class Encoder:
         yield from self._ids(work)
 
     def _ids(self, work: list[list[bytes]]):
-        if len(self.words) > MOST_WORDS or len(self.parts) > MOST_WORDS:
-            self.words.clear()
-            self.parts.clear()
         out, late = [], []
         for i, words in enumerate(work):
             try:
@@ -92,13 +89,13 @@ class Encoder:
                 out.append(b"")
         if late:
             rare = self._learn({w for i in late for w in work[i]}.difference(self.words))
-            find = (self.words | rare if rare else self.words).__getitem__
+            known = self.words
             for i in late:
-                out[i] = b"".join(map(find, work[i]))
+                out[i] = b"".join([known[w] if w in known else rare[w] for w in work[i]]) if rare else b"".join(map(known.__getitem__, work[i]))
         yield from out
 
     def _learn(self, fresh: set[bytes]) -> dict[bytes, bytes]:
-        """Takes up the fresh words; those too long to keep are returned instead."""
+        """Takes up the fresh words; those too long to keep, or for which there is no room, are returned instead."""
         split, whole = {}, []
         for w in fresh:
             s = w.decode("utf-8", "replace")
@@ -109,13 +106,17 @@ class Encoder:
             whole.append(w)
         parts = list({p for ps in split.values() for p in ps}.difference(self.parts))
         got = dict(zip(parts, self._encode(parts)))
-        self.parts.update(got)
-        made = {w: b"".join([self.parts[p] for p in ps]) for w, ps in split.items()}
+        known = self.parts
+        if len(known) < MOST_WORDS:
+            known.update(got)
+        made = {w: b"".join([known[p] if p in known else got[p] for p in ps]) for w, ps in split.items()}
         made |= zip(whole, self._encode([w.decode("utf-8", "replace") for w in whole]))
-        rare = {w: ids for w, ids in made.items() if len(w) > LONGEST_WORD}
         for p in parts:
             if len(p) > LONGEST_WORD:
-                del self.parts[p]
+                self.parts.pop(p, None)
+        if len(self.words) >= MOST_WORDS:
+            return made
+        rare = {w: ids for w, ids in made.items() if len(w) > LONGEST_WORD}
         for w in rare:
             del made[w]
         self.words.update(made)
@@ -139,6 +140,12 @@ class Encoder:
         return out
 
 
+@cache
+def encoder(path: str) -> Encoder:
+    """One for each Python worker, which many tasks use."""
+    return Encoder(path)
+
+
 class Window:
     """An open sequence: its pieces and the tokens in them."""
 
@@ -243,11 +250,11 @@ def packer(path: str, window: int, most: int, end_id: int):
 
     def run(batches):
         task = TaskContext.get().partitionId()
-        out, encoder = Out(task << 32), Encoder(path)
+        out, encode = Out(task << 32), encoder(path)
         pack = Packer(out.sequence, window, most)
         for batch in batches:
             docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for doc, ids in zip(docs, encoder(texts)):
+            for doc, ids in zip(docs, encode(texts)):
                 ids += end
                 pack.place((doc, 0, len(ids) // 4, task, ids))
                 yield from out.batches(OUT)
