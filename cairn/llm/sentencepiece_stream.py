@@ -8,8 +8,9 @@ of these boundaries meet in one, the ids before it are committed and forgotten,
 bounded by the longest piece plus what is not yet decided, whatever the text's length. The ids are those
 of the sentencepiece library.
 
-No piece has the word mark after another character, so the paths always meet before a mark that follows
-a word; what lies between two such marks is encoded once for each worker and kept in a bounded table. A
+Paths always meet between two characters that no piece holds side by side, so before a word mark that
+follows a word and mostly before punctuation; what lies between such boundaries is searched once for each
+worker and kept in a table of bounded size. A
 character that no piece covers becomes its UTF-8 bytes' pieces.
 
 Decoding turns pieces and byte runs back into text and drops the mark that encoding put first; for valid
@@ -21,6 +22,7 @@ without a space are searched in the bounded window; null ids stay null; only doc
 
 from __future__ import annotations
 
+from array import array
 from functools import cache
 
 import numpy as np
@@ -32,7 +34,7 @@ from pyspark.sql import types as T
 from .common import table
 
 MARK = "▁"
-MOST_KEPT, LONGEST_KEPT = 1_000_000, 48
+MOST_KEPT, LONGEST_KEPT = 500_000, 48
 #: Characters taken up between two attempts to commit.
 WINDOW = 64
 
@@ -54,6 +56,7 @@ class Model:
         self.score = {p: sp.get_score(i) for p, i in self.ids.items()}
         self.longest = max(map(len, self.ids))
         self.tails = {p[i:] for p in self.ids for i in range(len(p))}
+        self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.follow: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -72,10 +75,10 @@ class Model:
 
     def may_follow(self, a: int, b: int) -> bool:
         """Whether the model's merging of both pieces' characters gives just these two."""
-        if len(self.follow) > MOST_KEPT:
-            self.follow.clear()
         x, y = self.pieces[a], self.pieces[b]
-        found = self.follow[a << 20 | b] = self.merged(x + y) == [x, y]
+        found = self.merged(x + y) == [x, y]
+        if len(self.follow) < MOST_KEPT:
+            self.follow[a << 20 | b] = found
         return found
 
 
@@ -160,13 +163,26 @@ class Encoder:
         self.model, self.known = model_of(path), {}
 
     def span(self, span: str) -> bytes:
+        """The ids of a run of characters. Between two characters that no piece holds side by side all paths meet."""
+        inside, known, start, out = self.model.inside, self.known, 0, []
+        for i in range(1, len(span)):
+            if span[i - 1 : i + 1] not in inside:
+                part = span[start:i]
+                out.append(known.get(part) or self._search(part))
+                start = i
+        part = span[start:]
+        out.append(known.get(part) or self._search(part))
+        data = b"".join(out)
+        if start and len(span) <= LONGEST_KEPT and len(known) < MOST_KEPT:
+            known[span] = data
+        return data
+
+    def _search(self, part: str) -> bytes:
         stream = Stream(self.model)
-        ids = stream.push(span)
-        data = np.array(ids + stream.finish(), "<i4").tobytes()
-        if len(span) <= LONGEST_KEPT:
-            if len(self.known) > MOST_KEPT:
-                self.known.clear()
-            self.known[span] = data
+        ids = stream.push(part)
+        data = array("i", ids + stream.finish()).tobytes()
+        if len(part) <= LONGEST_KEPT and len(self.known) < MOST_KEPT:
+            self.known[part] = data
         return data
 
     def __call__(self, text: str | None) -> bytes:
@@ -224,14 +240,15 @@ def encoded_ids(text: Column, path: str) -> Column:
 
 
 def decoded_text(ids: Column, path: str) -> Column:
-    """The text of an array of ids; null ids give ''."""
+    """The text of an array of ids; null gives ''."""
 
     @F.arrow_udf(T.StringType())
     def decode(lists: pa.Array) -> pa.Array:
         decoder = decoder_of(path)
-        return pa.array([decoder(i or ()) for i in lists.to_pylist()], pa.string())
+        at, ids = np.asarray(lists.offsets), np.asarray(lists.values)
+        return pa.array([decoder(ids[a:b].tolist()) for a, b in zip(at[:-1], at[1:])], pa.string())
 
-    return decode(ids)
+    return decode(F.coalesce(ids, F.array().cast("array<int>")))
 
 
 def default_model() -> str:
