@@ -229,7 +229,7 @@ def write_archives(records: DataFrame, folder: str, gz: bool = True, most_bytes:
             for page_id, url, payload, revisit, refers_to in zip(*[c.to_pylist() for c in batch.columns]):
                 if out is None:
                     name = f"part-{context.partitionId():06d}-{context.taskAttemptId():08d}-{done:05d}.warc" + ".gz" * gz
-                    out, n, size = system.open_output_stream(f"{path}/{name}"), 0, 0
+                    out, n, size = system.open_output_stream(f"{path}/{name}", compression=None), 0, 0
                 data = record(page_id, url, payload, revisit, refers_to)
                 if gz:
                     z = zlib.compressobj(6, wbits=31)
@@ -255,7 +255,7 @@ def read_archives(manifest: DataFrame, most_tasks: int = 10_000) -> DataFrame:
         for batch in batches:
             for uri in batch.column(0).to_pylist():
                 system, path = opened(uri)
-                with system.open_input_stream(path) as stream:
+                with system.open_input_stream(path, compression=None) as stream:
                     some, size = [], 0
                     for r in salvage(stream.read):
                         some.append({"path": uri} | r)
