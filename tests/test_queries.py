@@ -1,7 +1,9 @@
 import pytest
 from compare import connection, differences
 
-from cairn.plans.catalogue import QUERIES, SQL
+from cairn.plans import catalogue, codec_queries
+
+QUERIES, SQL = catalogue.QUERIES | codec_queries.QUERIES, catalogue.SQL | codec_queries.SQL
 
 
 @pytest.fixture(scope="module")
