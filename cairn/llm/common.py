@@ -17,7 +17,18 @@ SALTS = 32
 SPACES = b" \t\n\v\f\r"
 
 
+#: Rows of one Arrow batch. Texts may be long, and a Python worker holds a batch at a time.
+BATCH_ROWS, SPARKS_OWN = "1000", "10000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for this session, unless it has a size of its own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == SPARKS_OWN:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,6 +49,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df once as a table in the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/cairn/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

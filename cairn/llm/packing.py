@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from .common import encoded, materialise, table
 
 WINDOW, OPEN, MERGED_TASKS, END_ID = 4096, 16, 64, 2
-MOST_WORDS, LONGEST_WORD = 400_000, 48
+MOST_WORDS, LONGEST_WORD = 200_000, 48
 #: Bytes of text in work at once, and of ids in one batch of output.
 WORK, OUT = 1 << 22, 1 << 22
 

@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from .common import table
 
 MARK = "▁"
-MOST_KEPT, LONGEST_KEPT = 500_000, 48
+MOST_KEPT, LONGEST_KEPT = 300_000, 48
 #: Characters taken up between two attempts to commit.
 WINDOW = 64
 
