@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Attribute bits and their letters in a listing, in its order.
-ATTRIBUTES = ((32, "a"), (16, "d"), (1, "r"), (2, "h"), (4, "s"))
+ATTRIBUTES = ((32, "a"), (16, "d"), (8, "l"), (4, "s"), (2, "h"), (1, "r"))
 # Names of compression levels.
 LEVELS = {2: "Fast", 3: "Normal", 4: "Tight", 5: "Ultra", 6: "rANS Fast", 7: "rANS Normal", 8: "rANS Tight", 9: "rANS Ultra"}
 # Result codes.
-ERRORS = {0: "Success", -2: "User fault", -3: "Bad state", -4: "Damaged", -5: "Truncated", -6: "Unimplemented", -7: "Internal error"}
+ERRORS = {-2: "Callback fault", -3: "Bad state", -4: "Damaged archive", -5: "Truncated", -6: "Unimplemented", -7: "Internal error"}
 
 
 def versions(entries: DataFrame, keys: list[str], seq: str) -> DataFrame:
@@ -130,11 +130,11 @@ def file_type_key(name: Column) -> Column:
     """The key by which like files are put together: the extension with # for digits, else the name's first three characters."""
     base = F.upper(F.substring_index(name, "/", -1))
     ext = F.substring(F.substring_index(base, ".", -1), 1, 3)
-    return F.when(F.instr(base, ".") > 0, F.regexp_replace(ext, "[0-9]", "#")).otherwise(F.substring(base, 1, 3))
+    return F.regexp_replace(F.when(F.instr(base, ".") > 0, ext).otherwise(F.substring(base, 1, 3)), "[0-9]", "#")
 
 
 def store_path(hex_hash: Column) -> Column:
-    return F.concat(F.upper(F.substring(hex_hash, 1, 2)), F.lit("/"), F.upper(hex_hash))
+    return F.concat(F.substring(hex_hash, 1, 2), F.lit("/"), hex_hash)
 
 
 def le(content: Column, at: int, size: int = 4) -> Column:
@@ -161,3 +161,61 @@ def content_type(head: Column, size: Column) -> Column:
         F.when(size < 4, 0).when(F.substring(head, 1, 2) == "MZ", 2).when(F.substring(head, 1, 4) == "\x7fELF", 2)
         .when(F.floor(printable * 100 / n) > 85, 1).when((n >= 64) & (F.floor(zeros * 100 / n) > 20), 3).otherwise(0)
     )
+
+
+#: Fixed value: how code page 850 writes the upper half of a byte.
+CP850 = bytes(range(128, 256)).decode("cp850")
+
+
+def from_cp850(raw: Column) -> Column:
+    """Text of a binary column in code page 850."""
+    latin = "".join(map(chr, range(128, 256)))
+    return F.translate(F.decode(raw, "ISO-8859-1"), latin, CP850)
+
+
+def with_parent(entries: DataFrame, dirs: DataFrame) -> DataFrame:
+    """Entries and their directory's path; those whose directory is missing are put at the root and marked."""
+    d = dirs.select(F.col("id").alias("dir_id"), F.col("path").alias("dir_path"))
+    joined = entries.join(d, "dir_id", "left")
+    return joined.withColumn("lost", F.col("dir_path").isNull() & (F.col("dir_id") != 0)).withColumn("dir_path", F.coalesce("dir_path", F.lit("")))
+
+
+def full_paths_sql(table: str) -> str:
+    """Recursive SQL for the path of each directory from rows (id, parent, name); the root has the id 0."""
+    return f"""
+WITH RECURSIVE down(id, path, depth) AS (
+  SELECT id, name, 1 FROM {table} WHERE parent = 0
+  UNION ALL SELECT t.id, concat(down.path, '/', t.name), down.depth + 1 FROM down JOIN {table} t ON t.parent = down.id)
+SELECT id, path, depth FROM down"""
+
+
+def listing_line(path: Column, size: Column, time: Column, attr: Column, version: Column) -> Column:
+    """One line of a listing with tabs between: attributes, time, size, path, and the version unless it is the newest."""
+    return F.concat_ws("\t", attributes(attr), F.date_format(time, "yyyy-MM-dd HH:mm:ss"), size.cast("string"), path, F.when(version != 0, version.cast("string")))
+
+
+def select_flags(entries: DataFrame, newer: Column | None = None, older: Column | None = None, without_attr: int = 0, time: str = "time", attr: str = "attr") -> DataFrame:
+    """Entries within dates and without attributes."""
+    if newer is not None:
+        entries = entries.where(F.col(time) >= newer)
+    if older is not None:
+        entries = entries.where(F.col(time) < older)
+    return entries.where(F.col(attr).bitwiseAND(F.lit(without_attr)) == 0) if without_attr else entries
+
+
+def freshen(mine: DataFrame, theirs: DataFrame, key: str, time: str, only_known: bool = True) -> DataFrame:
+    """Rows of theirs that are newer than mine; with only_known=False also those that mine lacks."""
+    known = mine.groupBy(key).agg(F.max(time).alias("__mine"))
+    joined = theirs.join(known, key, "left")
+    newer = F.col(time) > F.col("__mine")
+    return joined.where(newer if only_known else newer | F.col("__mine").isNull()).drop("__mine")
+
+
+def name_bucket(bytes_: Column) -> Column:
+    """A 64-bucket hash: the XOR of the bytes, six bits of it."""
+    return F.aggregate(bytes_, F.lit(0), lambda a, b: a.bitwiseXOR(b)).bitwiseAND(F.lit(63))
+
+
+def dump_signature(size: Column, csum: Column) -> Column:
+    """The check number of a listing's row."""
+    return size.bitwiseXOR(F.lit(0x26F79FA4)).bitwiseXOR(csum.bitwiseOR(F.shiftleft(csum, 16)))

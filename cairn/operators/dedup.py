@@ -25,6 +25,13 @@ def chunked(df: DataFrame, bits: int = BITS, compat: bool = False, weak: bool =
     return parts.select(*others, F.posexplode("__chunks").alias("chunk_ix", "c")).select(*others, F.col("chunk_ix").cast("long"), "c.*")
 
 
+def chunk_data(df: DataFrame, bits: int = BITS, **limits) -> DataFrame:
+    """Chunks with their bytes (blob_id, chunk_ix, hash64, length, data); the content is cut before rows are made."""
+    lists = df.select("blob_id", "content", cdc_chunks(bits, weak=False, **limits)("content").alias("__chunks"))
+    cut = F.transform("__chunks", lambda c: F.struct(c["hash64"].alias("hash64"), c["length"].alias("length"), F.substring(F.col("content"), c["offset"].cast("int") + 1, c["length"].cast("int")).alias("data")))
+    return lists.select("blob_id", F.posexplode(cut).alias("chunk_ix", "c")).select("blob_id", F.col("chunk_ix").cast("long"), "c.*")
+
+
 def merkle(df: DataFrame, bits: int = BITS, compat: bool = False, **limits) -> DataFrame:
     """A row for each blob: its number of chunks, bytes covered and root hash. No shuffle: the list stays in its row."""
     others = [c for c in df.columns if c != "content"]

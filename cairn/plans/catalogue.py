@@ -284,6 +284,56 @@ def running_offsets(spark, d):
     return entries(spark, d).select("dir", "doc_id", "size", (F.coalesce(F.sum("size").over(w), F.lit(0)) + 29).alias("offset"))
 
 
+def chunk_candidates(spark, d):
+    """Possible chunk ends by built-in functions: a window over the bytes of the benchmark texts."""
+    gear = F.array(*[F.lit(int(g) & 255) for g in gear_table()])
+    rows = X.byte_rows(D.blobs(table(spark, d, "benchmark"), "item_id", "text")).withColumn("g", F.element_at(gear, F.col("v") + 1))
+    w = Window.partitionBy("blob_id").orderBy("pos")
+    h = sum((F.coalesce(F.lag("g", k).over(w), F.lit(0)) * (1 << k) for k in range(BITS)), F.lit(0))
+    return rows.withColumn("h", h % (1 << BITS)).where("h = 0").select(F.col("blob_id").alias("item_id"), F.col("pos").cast("long").alias("pos"))
+
+
+def parent_join(spark, d):
+    """Customers as entries of their nations as directories; nations below their regions."""
+    dirs = table(spark, d, "nation").where("n_nationkey % 5 <> 3").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("path"))
+    files = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("dir_id"))
+    return C.with_parent(files, dirs).select("c_custkey", "dir_path", "lost")
+
+
+def dir_tree(spark, d):
+    """Paths of regions and nations as a tree, top down."""
+    r = table(spark, d, "region").select((F.col("r_regionkey") + 1000).alias("id"), F.lit(0).alias("parent"), F.col("r_name").alias("name"))
+    n = table(spark, d, "nation").select((F.col("n_nationkey") + 1).alias("id"), (F.col("n_regionkey") + 1000).alias("parent"), F.col("n_name").alias("name"))
+    r.union(n).createOrReplaceTempView("cairn_dirs")
+    return spark.sql(C.full_paths_sql("cairn_dirs")).select(F.col("id").cast("long").alias("id"), "path", F.col("depth").cast("long").alias("depth"))
+
+
+def listing_lines(spark, d):
+    o = table(spark, d, "orders")
+    return o.select("o_orderkey", C.listing_line(F.concat(F.lit("orders/"), F.col("o_orderkey")), F.floor("o_totalprice").cast("long"), F.col("o_orderdate"), (F.col("o_orderkey") % 64).cast("int"), F.col("o_orderkey") % 3).alias("line"))
+
+
+def freshened(spark, d):
+    """Newest event of each user and kind among the odd ones that is newer than all even ones."""
+    e = table(spark, d, "events").select("event_id", F.concat_ws("/", F.col("user_id"), "event_type").alias("name"), "ts")
+    return C.freshen(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), "name", "ts", only_known=False).select("event_id", "name")
+
+
+def signatures(spark, d):
+    from ..functions.arrays import byte_values
+
+    p = table(spark, d, "part")
+    return p.select("p_partkey", C.name_bucket(byte_values(F.encode("p_name", "UTF-8"))).alias("bucket"), C.dump_signature(F.length("p_name").cast("long"), checksum(F.encode("p_name", "UTF-8"))).alias("signature"),
+                    C.named((F.col("p_size") % 12).cast("int"), C.LEVELS, "Tight").alias("level"), C.store_path(hex64(fnv64(F.encode("p_name", "UTF-8")))).alias("store_path"))
+
+
+def quota_heads(spark, d):
+    """A dictionary's content from many files: of each source the heads of its documents, up to 4096 bytes in all."""
+    w = Window.partitionBy("dir").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    e = entries(spark, d).withColumn("quota", F.least("size", F.lit(512))).withColumn("before", F.coalesce(F.sum("quota").over(w), F.lit(0)))
+    return e.where("before < 4096").select("dir", "doc_id", F.least("quota", 4096 - F.col("before")).alias("taken"))
+
+
 def contains_text(spark, d):
     """Documents with a text in them, whatever its case."""
     return table(spark, d, "documents").where(F.upper("text").contains("TION")).groupBy("lang").agg(F.count("*").alias("n"))
@@ -300,14 +350,16 @@ HUGE = "list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('
 MAGIC_SQL = "SELECT doc_id, CASE WHEN octet_length(encode(text)) < 4 THEN -1 WHEN hex(encode(text)[1:4]) <> '5543321A' THEN 0 ELSE 1 END::INT AS identity FROM documents"
 
 
+GEAR = ", ".join(f"({b}, {int(g) & 255})" for b, g in enumerate(gear_table()))
+LAGS = " + ".join(f"coalesce({1 << k} * lag(gv, {k}) OVER w, 0)" for k in range(BITS))
+
+
 def _cdc() -> str:
-    gear = ", ".join(f"({b}, {int(g) & 255})" for b, g in enumerate(gear_table()))
-    lags = " + ".join(f"coalesce({1 << k} * lag(gv, {k}) OVER w, 0)" for k in range(BITS))
     return f"""
-WITH RECURSIVE gear(v, gv) AS (VALUES {gear}),
+WITH RECURSIVE gear(v, gv) AS (VALUES {GEAR}),
 t AS MATERIALIZED (SELECT doc_id, source, encode(coalesce(text, '')) AS data, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
 b AS MATERIALIZED (SELECT doc_id, unnest(range(n)) AS pos, unnest(list_transform(regexp_extract_all(hex(data), '..'), lambda x: ('0x' || x)::INT)) AS v FROM t WHERE n > 0),
-c AS MATERIALIZED (SELECT doc_id, pos FROM (SELECT doc_id, pos, ({lags}) % {1 << BITS} AS h FROM b JOIN gear USING (v) WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) WHERE h = 0),
+c AS MATERIALIZED (SELECT doc_id, pos FROM (SELECT doc_id, pos, ({LAGS}) % {1 << BITS} AS h FROM b JOIN gear USING (v) WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) WHERE h = 0),
 ends AS MATERIALIZED (SELECT doc_id, list(pos ORDER BY pos) AS ps FROM c GROUP BY doc_id),
 r(doc_id, n, ix, st, en, ps) AS (
   SELECT doc_id, n, 0, 0, least(coalesce(list_filter(ps, lambda p: p >= {1 << (BITS - 2)} AND p < least({1 << (BITS + 2)}, n))[1] + 1, {1 << (BITS + 2)}), n), ps FROM t LEFT JOIN ends USING (doc_id) WHERE n > 0
@@ -373,7 +425,7 @@ SELECT event_id, ((year(ts) - 1980) * 33554432 + month(ts) * 2097152 + day(ts) *
 WITH p AS (SELECT p_partkey, upper(string_split({PART_PATH}, '/')[-1]) AS base FROM part),
 s AS (SELECT p_partkey, base, CASE WHEN contains(base, '.') THEN regexp_extract(base, '^(.*)\\.[^.]*$', 1) ELSE base END AS stem, CASE WHEN contains(base, '.') THEN regexp_extract(base, '([^.]*)$', 1) ELSE '' END AS ext FROM p)
 SELECT p_partkey, rpad(stem[1:8], 8, ' ') || rpad(ext[1:3], 3, ' ') AS dos_name, lower(rtrim(stem[1:8]) || CASE WHEN ext <> '' THEN '.' || rtrim(ext[1:3]) ELSE '' END) AS shown,
-  CASE WHEN ext <> '' OR contains(base, '.') THEN regexp_replace(ext[1:3], '[0-9]', '#', 'g') ELSE base[1:3] END AS type_key FROM s""",
+  regexp_replace(CASE WHEN contains(base, '.') THEN ext[1:3] ELSE base[1:3] END, '[0-9]', '#', 'g') AS type_key FROM s""",
     "bwt_short": """
 WITH r AS (SELECT p_partkey, i, substr(p_name, i::INT + 1) || substr(p_name, 1, i::INT) AS rot FROM (SELECT p_partkey, p_name, unnest(range(length(p_name))) AS i FROM part)),
 k AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY rot, i) - 1 AS rank FROM r)
@@ -431,6 +483,29 @@ WITH RECURSIVE m AS MATERIALIZED (SELECT * FROM {PARTS}), up(start, above, path,
 SELECT start AS p_partkey, max(depth)::BIGINT AS depth, bool_or(cyclic) AS cyclic FROM up GROUP BY start""",
     "running_offsets": """
 SELECT source AS dir, doc_id, octet_length(encode(text))::BIGINT AS size, (29 + coalesce(sum(octet_length(encode(text))) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS "offset" FROM documents""",
+    "chunk_candidates": f"""
+WITH gear(v, gv) AS (VALUES {GEAR}),
+b AS (SELECT item_id, generate_subscripts({BYTES}, 1) - 1 AS pos, unnest({BYTES}) AS v FROM benchmark)
+SELECT item_id, pos::BIGINT AS pos FROM (SELECT item_id, pos, ({LAGS}) % {1 << BITS} AS h FROM b JOIN gear USING (v) WINDOW w AS (PARTITION BY item_id ORDER BY pos)) WHERE h = 0""",
+    "parent_join": "SELECT c_custkey, coalesce(n_name, '') AS dir_path, n_name IS NULL AND c_nationkey <> 0 AS lost FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 5 <> 3) ON c_nationkey = n_nationkey",
+    "dir_tree": "SELECT (r_regionkey + 1000)::BIGINT AS id, r_name AS path, 1::BIGINT AS depth FROM region UNION ALL SELECT (n_nationkey + 1)::BIGINT, r_name || '/' || n_name, 2::BIGINT FROM nation JOIN region ON n_regionkey = r_regionkey",
+    "listing_lines": """
+SELECT o_orderkey, (CASE WHEN a & 32 <> 0 THEN 'a' ELSE '-' END) || (CASE WHEN a & 16 <> 0 THEN 'd' ELSE '-' END) || (CASE WHEN a & 8 <> 0 THEN 'l' ELSE '-' END) || (CASE WHEN a & 4 <> 0 THEN 's' ELSE '-' END)
+  || (CASE WHEN a & 2 <> 0 THEN 'h' ELSE '-' END) || (CASE WHEN a & 1 <> 0 THEN 'r' ELSE '-' END) || chr(9) || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || chr(9) || floor(o_totalprice)::BIGINT || chr(9) || 'orders/' || o_orderkey
+  || (CASE WHEN o_orderkey % 3 <> 0 THEN chr(9) || (o_orderkey % 3) ELSE '' END) AS line FROM (SELECT *, (o_orderkey % 64)::INT AS a FROM orders)""",
+    "freshened": """
+WITH e AS (SELECT event_id, user_id || '/' || event_type AS name, ts FROM events), k AS (SELECT name, max(ts) AS mine FROM e WHERE event_id % 2 = 0 GROUP BY name)
+SELECT event_id, name FROM e LEFT JOIN k USING (name) WHERE event_id % 2 = 1 AND (mine IS NULL OR ts > mine)""",
+    "signatures": f"""
+WITH p AS (SELECT p_partkey, p_name AS text, p_size % 12 AS level FROM part),
+b AS (SELECT p_partkey, bit_xor(v) & 63 AS bucket, xor(42330::BIGINT, bit_xor((v << (8 * (pos % 2))::INT)::BIGINT)) AS csum FROM (SELECT p_partkey, generate_subscripts({BYTES}, 1) - 1 AS pos, unnest({BYTES}) AS v FROM p) GROUP BY p_partkey)
+SELECT p_partkey, bucket::INT AS bucket, xor(xor(length(text), 653762468::BIGINT), csum | (csum << 16)) AS signature,
+  CASE level WHEN 2 THEN 'Fast' WHEN 3 THEN 'Normal' WHEN 4 THEN 'Tight' WHEN 5 THEN 'Ultra' WHEN 6 THEN 'rANS Fast' WHEN 7 THEN 'rANS Normal' WHEN 8 THEN 'rANS Tight' WHEN 9 THEN 'rANS Ultra' ELSE 'Tight' END AS level,
+  h[1:2] || '/' || h AS store_path FROM (SELECT *, {HEX.format(FNV64.format(bytes=HUGE))} AS h FROM p) JOIN b USING (p_partkey)""",
+    "quota_heads": """
+WITH e AS (SELECT source AS dir, doc_id, least(octet_length(encode(text)), 512)::BIGINT AS quota FROM documents),
+w AS (SELECT *, coalesce(sum(quota) OVER (PARTITION BY dir ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM e)
+SELECT dir, doc_id, least(quota, 4096 - before) AS taken FROM w WHERE before < 4096""",
     "contains_text": "SELECT lang, count(*) AS n FROM documents WHERE contains(upper(text), 'TION') GROUP BY lang",
 }
 
@@ -439,4 +514,5 @@ QUERIES = {f.__name__: f for f in (
     delta_filter_bytes, dos_time_roundtrip, dos_names, bwt_short, parity_sectors, parity_repair, cdc_chunks, chunk_hashes, merkle_root, merkle_similarity, blockstore_ingest,
     blockstore_totals, store_delta, shared_chunk_files, source_overlap, dedup_by_source, simhash_benchmark, simhash_documents, near_dup_pairs, master_grouping, catalog_listing,
     latest_versions, listing_totals, glob_select, subtree_select, as_of_version, dir_paths, master_chain, running_offsets, contains_text,
+    chunk_candidates, parent_join, dir_tree, listing_lines, freshened, signatures, quota_heads,
 )}

@@ -30,7 +30,7 @@ NO_MASTER = bytes(512)
 L, S, B = T.LongType(), T.StringType(), T.BooleanType()
 ENTRY = T.StructType([T.StructField(n, t) for n, t in (
     ("seq", L), ("kind", S), ("dir_id", L), ("id", L), ("name", S), ("dos_name", S), ("attr", L), ("dos_time", L), ("size", L), ("csize", L), ("csum", L), ("method", L), ("master", L),
-    ("offset", L), ("tags", T.ArrayType(S)), ("ref_len", L), ("ref_ctr", L), ("error", S))])
+    ("offset", L), ("tags", T.ArrayType(T.StructType([T.StructField("tag", S), T.StructField("data", T.BinaryType())]))), ("ref_len", L), ("ref_ctr", L), ("error", S))])
 
 
 def csum(data: bytes) -> int:
@@ -128,7 +128,7 @@ def entries(archive: bytes) -> list[dict]:
                 name, size, more = TAG.unpack_from(raw, i)
                 value = raw[i + TAG.size : i + TAG.size + size]
                 i += TAG.size + size
-                row["tags"].append(name.split(b"\0")[0].decode("latin-1"))
+                row["tags"].append({"tag": name.split(b"\0")[0].decode("latin-1"), "data": value})
                 if name == LONG_NAME:
                     row["name"] = value.split(b"\0")[0][:300].decode("utf-8", "replace")
             out.append(row)
@@ -160,7 +160,7 @@ def extract(archive: bytes, entry: dict, known: list[dict], above: tuple[int, ..
 @F.arrow_udf(T.ArrayType(ENTRY))
 def entry_list(v: pa.Array) -> pa.Array:
     kinds = {S: pa.string(), L: pa.int64()}
-    t = pa.struct([(f.name, pa.list_(pa.string()) if f.name == "tags" else kinds[f.dataType]) for f in ENTRY])
+    t = pa.struct([(f.name, pa.list_(pa.struct([("tag", pa.string()), ("data", pa.binary())])) if f.name == "tags" else kinds[f.dataType]) for f in ENTRY])
     return pa.array([entries(x or b"") for x in v.to_pylist()], pa.list_(t))
 
 

@@ -145,3 +145,44 @@ def test_a_stream_ends_in_the_totals_of_one_ingest(spark, tmp_path):
     store.ingest(spark.createDataFrame(rows[:1], "blob_id long, content binary"), 99)
     assert store.ingests().where("batch = 99").first().n_new == 0
     assert store.has(store.blocks().select("hash64").limit(3)).count() == 3
+
+
+def test_foreign_archives_and_writing(spark, tmp_path):
+    import io
+    import tarfile
+    import zipfile
+
+    from cairn.sources import foreign as X
+
+    z, t = io.BytesIO(), io.BytesIO()
+    with zipfile.ZipFile(z, "w") as f:
+        f.writestr("a/b.txt", b"zip")
+    with tarfile.open(fileobj=t, mode="w:gz") as f:
+        info = tarfile.TarInfo("c.txt")
+        info.size = 3
+        f.addfile(info, io.BytesIO(b"tar"))
+    rows = [("z", z.getvalue()), ("t", t.getvalue()), ("x", b"neither"), ("cut", z.getvalue()[:30]), ("none", None)]
+    got = X.read_foreign(spark.createDataFrame(rows, "path string, content binary")).collect()
+    assert {(r.path, r.name, bytes(r.content)) for r in got if r.content} == {("z", "a/b.txt", b"zip"), ("t", "c.txt", b"tar")} and sum(r.error is not None for r in got) == 3
+    files = spark.createDataFrame([("d/one", b"1"), ("../up", b"2"), ("two", None)], "name string, content binary")
+    write = lambda **k: {r.name: r.state for r in X.write_files(files, f"file://{tmp_path}/out", **k).collect()}
+    assert write() == {"d/one": "written", "../up": "refused", "two": "written"} and (tmp_path / "out/d/one").read_bytes() == b"1"
+    assert write()["d/one"] == "kept" and write(overwrite=True)["d/one"] == "written"
+
+
+def test_block_bytes_come_back(spark, tmp_path):
+    data = R.randbytes(5000)
+    store = BlockStore(spark, f"file://{tmp_path}/s")
+    assert store.stats().first().blobs == 0
+    store.ingest(spark.createDataFrame([(1, data)], "blob_id long, content binary"), 0)
+    for r in store.blocks().collect():
+        assert bytes(r.data) in data and store.read(f"{r.hash64 % 2**64:016x}") == bytes(r.data)
+    assert store.read("0" * 16) is None
+
+
+def test_sql_functions(spark):
+    from cairn.functions.register import register
+
+    assert "fnv64" in register(spark)
+    r = spark.sql("SELECT fnv64(CAST('ab' AS BINARY)) AS h, lz4_unblock(lz4_block(CAST('aaaaaaaaaaaa' AS BINARY))) AS b, size(cdc_chunks(CAST('abc' AS BINARY))) AS n").first()
+    assert r.h == 0x089C4407B545986A and bytes(r.b) == b"a" * 12 and r.n == 1
