@@ -614,28 +614,37 @@ def digests(values: list[bytes]) -> list[bytes]:
         root = ends & alone[live]
         flags = np.where(root, CHUNK_START | CHUNK_END | ROOT, flags)
         cv[live] = mixed(cv[live], words[live, 16 * b : 16 * b + 16], number[live], length, flags)
-    out: list[bytes] = []
-    at = 0
+    # the trees' shapes depend on the numbers of chunks alone: nodes of one height, of all values, are made at once
+    nodes, heights, heads, at = list(cv), [0] * len(cv), [], 0
+    todo: dict[int, list[tuple[int, int, int]]] = {}
 
-    def parent(left, right, flags, length):
-        return mixed(IV[None, :], np.concatenate([left, right])[None, :].astype(np.uint32), 0, length, flags)[0]
+    def parent(left: int, right: int) -> int:
+        nodes.append(None)
+        heights.append(1 + max(heights[left], heights[right]))
+        todo.setdefault(heights[-1], []).append((len(nodes) - 1, left, right))
+        return len(nodes) - 1
 
     for v in values:
         n = max(1, -(-len(v) // 1024))
-        own = cv[at : at + n]
-        at += n
-        if n == 1:
-            out.append(own[0].astype("<u4").tobytes())
-            continue
-        stack: list[np.ndarray] = []
+        stack: list[int] = []
         for k in range(n - 1):
-            node, left = own[k], k
+            node, left = at + k, k
             while left & 1:
-                node = parent(stack.pop(), node, PARENT, 64)
+                node = parent(stack.pop(), node)
                 left >>= 1
             stack.append(node)
-        node = own[n - 1]
+        node = at + n - 1
         while stack:
-            node = parent(stack.pop(), node, PARENT, 64)
-        out.append(parent(node, np.zeros(8, np.uint32), PARENT | ROOT, 32).astype("<u4").tobytes())
-    return out
+            node = parent(stack.pop(), node)
+        heads.append((node, n > 1))
+        at += n
+    for height in sorted(todo):
+        made, left, right = zip(*todo[height])
+        both = np.concatenate([np.stack([nodes[i] for i in left]), np.stack([nodes[i] for i in right])], axis=1)
+        for i, row in zip(made, mixed(np.tile(IV, (len(made), 1)), both, 0, 64, PARENT)):
+            nodes[i] = row
+    tops = np.stack([nodes[i] for i, _ in heads]) if heads else np.zeros((0, 8), np.uint32)
+    many = np.array([m for _, m in heads], bool)
+    if many.any():
+        tops[many] = mixed(np.tile(IV, (int(many.sum()), 1)), np.concatenate([tops[many], np.zeros_like(tops[many])], axis=1), 0, 32, PARENT | ROOT)
+    return [row.astype("<u4").tobytes() for row in tops]
