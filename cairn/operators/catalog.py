@@ -15,9 +15,27 @@ LEVELS = {2: "Fast", 3: "Normal", 4: "Tight", 5: "Ultra", 6: "rANS Fast", 7: "rA
 ERRORS = {-2: "Callback fault", -3: "Bad state", -4: "Damaged archive", -5: "Truncated", -6: "Unimplemented", -7: "Internal error"}
 
 
+def running_before(df: DataFrame, keys: list[str], order: Column, value: Column, out: str, parts: int = 64) -> DataFrame:
+    """The sum of a value over the rows of equal keys that come before in order.
+
+    One key may hold most rows: the order's range is cut into `parts` of about equal counts, each
+    (key, part) is summed by a window of its own, and the parts' totals are summed up over a small table.
+    """
+    rows = df.withColumn("__order", order).withColumn("__value", value)
+    bounds = sorted(set(rows.agg(F.percentile_approx("__order", [i / parts for i in range(1, parts)], 1000)).first()[0] or []))
+    part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("__order"))) if bounds else F.lit(0)
+    rows = rows.withColumn("__part", part)
+    own = Window.partitionBy(*keys, "__part").orderBy("__order").rowsBetween(Window.unboundedPreceding, -1)
+    above = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*keys, "__part").agg(F.sum("__value").alias("__total"))
+    totals = totals.withColumn("__above", F.coalesce(F.sum("__total").over(above), F.lit(0))).drop("__total")
+    summed = rows.withColumn("__own", F.coalesce(F.sum("__value").over(own), F.lit(0)))
+    return summed.join(totals, [*keys, "__part"]).withColumn(out, F.col("__own") + F.col("__above")).drop("__order", "__value", "__part", "__own", "__above")
+
+
 def versions(entries: DataFrame, keys: list[str], seq: str) -> DataFrame:
-    """version: 0 for the newest entry of a name, counting up with age."""
-    return entries.withColumn("version", (F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(seq).desc())) - 1).cast("long"))
+    """version: 0 for the newest entry of a name (the largest seq), counting up with age."""
+    return running_before(entries, keys, -F.col(seq), F.lit(1).cast("long"), "version")
 
 
 def select_version(df: DataFrame, wanted: int | None = 0) -> DataFrame:
@@ -68,10 +86,10 @@ def walk_order(entries: DataFrame) -> list[Column]:
     return [F.regexp_replace("path", "/[^/]*$", ""), F.col("is_dir"), F.col("path")]
 
 
-def as_of(entries: DataFrame, keys: list[str], time: str, at: Column) -> DataFrame:
-    """Of each name the newest entry not later than `at`."""
-    order = Window.partitionBy(*keys).orderBy(F.col(time).desc(), *[F.col(c) for c in entries.columns if c not in (time, *keys)])
-    return entries.where(F.col(time) <= at).withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+def as_of(entries: DataFrame, keys: list[str], time: str, at: Column, tie: str) -> DataFrame:
+    """Of each name the newest entry not later than `at`; of equal times that of the least `tie`."""
+    best = F.max_by(F.struct(*entries.columns), F.struct(F.col(time), -F.col(tie))).alias("e")
+    return entries.where(F.col(time) <= at).groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(best).select("e.*")
 
 
 def chain_sql(table: str, key: str = "id", parent: str = "master") -> str:

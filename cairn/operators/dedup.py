@@ -51,22 +51,22 @@ def common_chunks(a: DataFrame, b: DataFrame, key_a: str, key_b: str, pair: str)
         F.coalesce(F.sum(F.when(hit, F.col("length")).otherwise(0)) / F.nullif(F.sum("length"), F.lit(0)), F.lit(0.0)).alias("similarity"))
 
 
-def first_seen(chunks: DataFrame, *order: str) -> DataFrame:
-    """Chunks with is_new: whether the hash comes first here in ingest order.
+def first_seen(chunks: DataFrame, *order: str, store: DataFrame | None = None) -> DataFrame:
+    """Chunks with is_new: whether the hash comes first here in ingest order and is not in the store.
 
-    The first of a hash is the least order struct, by partial aggregation, joined back: a hot hash is no
-    single window partition."""
-    place = F.struct(*order)
-    first = chunks.groupBy("hash64").agg(F.min(place).alias("__first"))
-    return chunks.join(first, "hash64").withColumn("is_new", place == F.col("__first")).drop("__first")
+    The first place of a hash is a partial aggregation; it is joined back by place (the order columns, which
+    name a chunk), not by hash, so that a hash that a third of all files share is no task's burden.
+    """
+    first = chunks.groupBy("hash64").agg(F.min(F.struct(*order)).alias("__first"))
+    if store is not None:
+        first = first.join(store.select("hash64").distinct(), "hash64", "left_anti")
+    marks = first.select(*[F.col("__first")[c].alias(c) for c in order], F.lit(True).alias("is_new"))
+    return chunks.join(marks, list(order), "left").withColumn("is_new", F.coalesce("is_new", F.lit(False)))
 
 
 def ingested(chunks: DataFrame, store: DataFrame | None = None) -> DataFrame:
     """A row for each blob, as ingested in order of blob_id into a store of hashes: chunks, new ones, bytes stored and saved."""
-    marked = first_seen(chunks, "blob_id", "chunk_ix")
-    if store is not None:
-        known = store.select("hash64").distinct().withColumn("__known", F.lit(True))
-        marked = marked.join(known, "hash64", "left").withColumn("is_new", F.col("is_new") & F.col("__known").isNull()).drop("__known")
+    marked = first_seen(chunks, "blob_id", "chunk_ix", store=store)
     return marked.groupBy("blob_id").agg(
         F.count("*").alias("n_chunks"), F.sum(F.col("is_new").cast("long")).alias("n_new"), F.sum(F.when(F.col("is_new"), F.col("length")).otherwise(0)).alias("stored_bytes"),
         F.sum(F.when(F.col("is_new"), 0).otherwise(F.col("length"))).alias("saved_bytes"))
@@ -144,11 +144,6 @@ def root_order(df: DataFrame) -> DataFrame:
     return ordered.select("blob_id", digest_list(F.transform("l", lambda x: x["hash64"])).alias("root"))
 
 
-def newest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """version: 0 for the newest row of equal keys, counting up with age."""
-    return df.withColumn("version", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc())) - 1)
-
-
 def exact_duplicates(df: DataFrame) -> DataFrame:
     """Groups of equal content by hash and length."""
     keyed = df.select("blob_id", F.length("content").cast("long").alias("size"), fnv64("content").alias("h"))

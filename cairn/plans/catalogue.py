@@ -262,7 +262,7 @@ def subtree_select(spark, d):
 def as_of_version(spark, d):
     at = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
     e = table(spark, d, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp_ntz").alias("ts"))
-    return C.as_of(e, ["user_id", "event_type"], "ts", at).select("user_id", "event_type", "event_id")
+    return C.as_of(e, ["user_id", "event_type"], "ts", at, "event_id").select("user_id", "event_type", "event_id")
 
 
 def dir_paths(spark, d):
@@ -280,8 +280,8 @@ def master_chain(spark, d):
 
 def running_offsets(spark, d):
     """Where each document's data begins in an archive of its source: sizes before it, after a head of 29 bytes."""
-    w = Window.partitionBy("dir").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    return entries(spark, d).select("dir", "doc_id", "size", (F.coalesce(F.sum("size").over(w), F.lit(0)) + 29).alias("offset"))
+    e = C.running_before(entries(spark, d), ["dir"], F.col("doc_id"), F.col("size"), "before")
+    return e.select("dir", "doc_id", "size", (F.col("before") + 29).alias("offset"))
 
 
 def chunk_candidates(spark, d):
@@ -329,8 +329,8 @@ def signatures(spark, d):
 
 def quota_heads(spark, d):
     """A dictionary's content from many files: of each source the heads of its documents, up to 4096 bytes in all."""
-    w = Window.partitionBy("dir").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    e = entries(spark, d).withColumn("quota", F.least("size", F.lit(512))).withColumn("before", F.coalesce(F.sum("quota").over(w), F.lit(0)))
+    e = entries(spark, d).withColumn("quota", F.least("size", F.lit(512)))
+    e = C.running_before(e, ["dir"], F.col("doc_id"), F.col("quota"), "before")
     return e.where("before < 4096").select("dir", "doc_id", F.least("quota", 4096 - F.col("before")).alias("taken"))
 
 
