@@ -55,28 +55,31 @@ class Model:
         self.ids = {p: i for i, p in enumerate(self.pieces) if i not in skip}
         self.score = {p: sp.get_score(i) for p, i in self.ids.items()}
         self.longest = max(map(len, self.ids))
-        self.tails = {p[i:] for p in self.ids for i in range(len(p))}
+        #: Every tail of a piece and its id; -1 for those that are no pieces themselves.
+        self.tails = {p[i:]: -1 for p in self.ids for i in range(len(p))} | self.ids
         self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.follow: dict[int, bool] = {}
 
-    def merged(self, text: str) -> list[str]:
-        """Byte pair merging of a short string: the best-scored neighbours first, of equals the leftmost."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = self.score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
     def may_follow(self, a: int, b: int) -> bool:
-        """Whether the model's merging of both pieces' characters gives just these two."""
+        """Whether the model's merging of both pieces' characters gives just these two: byte pair merging, the
+        best-scored neighbours first, of equals the leftmost, until nothing merges or a merge crosses the boundary."""
         x, y = self.pieces[a], self.pieces[b]
-        found = self.merged(x + y) == [x, y]
+        parts, left, score, none = list(x + y), len(x), self.score.get, float("-inf")
+        scores = [score(p + q, none) for p, q in zip(parts, parts[1:])]
+        found = True
+        while (best := max(scores, default=none)) > none:
+            at = scores.index(best)
+            if at == left - 1:
+                found = False
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del scores[at]
+            if at:
+                scores[at - 1] = score(parts[at - 1] + parts[at], none)
+            if at < len(scores):
+                scores[at] = score(parts[at] + parts[at + 1], none)
+            left -= at < left
+        found = found and len(parts) == 2
         if len(self.follow) < MOST_KEPT:
             self.follow[a << 20 | b] = found
         return found
@@ -104,21 +107,20 @@ class Stream:
 
     def _extend(self) -> None:
         model, text, back, sizes = self.model, self.text, self.back, self.sizes
-        tails, ids, follow, may_follow = model.tails, model.ids, model.follow, model.may_follow
+        tails, follow, may_follow = model.tails.get, model.follow.get, model.may_follow
         for end in range(len(back), len(text) + 1):
             ending = []  # pieces that end here, the longest last
             for start in range(end - 1, -1, -1):
-                piece = text[start:end]
-                if piece not in tails:
+                found = tails(text[start:end])
+                if found is None:
                     break
-                found = ids.get(piece)
-                if found is not None:
+                if found >= 0:
                     ending.append((found, start))
             for found, start in reversed(ending):
                 before = back[start]
                 if before < 0:
                     break
-                ok = follow.get(before << 20 | found)
+                ok = follow(before << 20 | found)
                 if ok or ok is None and may_follow(before, found):
                     break
             else:
@@ -179,8 +181,7 @@ class Encoder:
 
     def _search(self, part: str) -> bytes:
         stream = Stream(self.model)
-        ids = stream.push(part)
-        data = array("i", ids + stream.finish()).tobytes()
+        data = array("i", stream.push(part) + stream.finish()).tobytes()
         if len(part) <= LONGEST_KEPT and len(self.known) < MOST_KEPT:
             self.known[part] = data
         return data
