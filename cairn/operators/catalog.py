@@ -23,7 +23,7 @@ def running_before(df: DataFrame, keys: list[str], order: Column, value: Column,
     """
     rows = df.withColumn("__order", order).withColumn("__value", value)
     bounds = sorted(set(rows.agg(F.percentile_approx("__order", [i / parts for i in range(1, parts)], 1000)).first()[0] or []))
-    part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("__order"))) if bounds else F.lit(0)
+    part = sum(((F.col("__order") >= b).cast("int") for b in bounds), F.lit(0))
     rows = rows.withColumn("__part", part)
     own = Window.partitionBy(*keys, "__part").orderBy("__order").rowsBetween(Window.unboundedPreceding, -1)
     above = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
