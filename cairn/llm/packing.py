@@ -20,6 +20,7 @@ gives other sequences, a lost task gives the same ones again.
 from __future__ import annotations
 
 import os
+import re
 from functools import cache
 
 import numpy as np
@@ -33,7 +34,7 @@ from pyspark.sql import types as T
 from .common import encoded, materialise, table
 
 WINDOW, OPEN, MERGED_TASKS, END_ID = 4096, 16, 64, 2
-MOST_WORDS, LONGEST_WORD = 200_000, 48
+MOST_WORDS, LONGEST_WORD = 300_000, 48
 #: Bytes of text in work at once, and of ids in one batch of output.
 WORK, OUT = 1 << 22, 1 << 22
 
@@ -54,6 +55,7 @@ def tokenizer(path: str):
 
 #: Pre-tokens of lower-case text, as the vocabulary's own splitter makes them.
 PRE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+ASCII_PRE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")  # the same for words of ASCII
 #: Stands between words that are encoded in one call.
 MARK = "\u00a9"
 
@@ -80,47 +82,39 @@ class Encoder:
         yield from self._ids(work)
 
     def _ids(self, work: list[list[bytes]]):
-        out, late = [], []
-        for i, words in enumerate(work):
-            try:
-                out.append(b"".join(map(self.words.__getitem__, words)))
-            except KeyError:
-                late.append(i)
-                out.append(b"")
-        if late:
-            rare = self._learn({w for i in late for w in work[i]}.difference(self.words))
-            known = self.words
-            for i in late:
-                out[i] = b"".join([known[w] if w in known else rare[w] for w in work[i]]) if rare else b"".join(map(known.__getitem__, work[i]))
-        yield from out
+        find, found, missing = self.words.get, [], set()
+        for words in work:
+            ids = list(map(find, words))
+            if None in ids:
+                missing.update([w for w, i in zip(words, ids) if i is None])
+            found.append(ids)
+        fresh = self._learn(missing) if missing else {}
+        for words, ids in zip(work, found):
+            yield b"".join([fresh[w] if i is None else i for w, i in zip(words, ids)] if None in ids else ids)
 
     def _learn(self, fresh: set[bytes]) -> dict[bytes, bytes]:
-        """Takes up the fresh words; those too long to keep, or for which there is no room, are returned instead."""
+        """The ids of fresh words. They are kept, but for long ones and those for which there is no room."""
         split, whole = {}, []
         for w in fresh:
             s = w.decode("utf-8", "replace")
-            if s.isascii() or max(s) < "\u0100":
-                if "<|" not in s:
-                    split[w] = PRE.findall(s.lower())
-                    continue
-            whole.append(w)
+            if "<|" in s:
+                whole.append(w)
+            elif s.isascii():
+                split[w] = ASCII_PRE.findall(s.lower())
+            elif max(s) < "\u0100":
+                split[w] = PRE.findall(s.lower())
+            else:
+                whole.append(w)
         parts = list({p for ps in split.values() for p in ps}.difference(self.parts))
         got = dict(zip(parts, self._encode(parts)))
+        if len(self.parts) < MOST_WORDS:
+            self.parts.update((p, i) for p, i in got.items() if len(p) <= LONGEST_WORD)
         known = self.parts
-        if len(known) < MOST_WORDS:
-            known.update(got)
         made = {w: b"".join([known[p] if p in known else got[p] for p in ps]) for w, ps in split.items()}
-        made |= zip(whole, self._encode([w.decode("utf-8", "replace") for w in whole]))
-        for p in parts:
-            if len(p) > LONGEST_WORD:
-                self.parts.pop(p, None)
-        if len(self.words) >= MOST_WORDS:
-            return made
-        rare = {w: ids for w, ids in made.items() if len(w) > LONGEST_WORD}
-        for w in rare:
-            del made[w]
-        self.words.update(made)
-        return rare
+        made.update(zip(whole, self._encode([w.decode("utf-8", "replace") for w in whole])))
+        if len(self.words) < MOST_WORDS:
+            self.words.update((w, i) for w, i in made.items() if len(w) <= LONGEST_WORD)
+        return made
 
     def _encode(self, words: list[str]) -> list[bytes]:
         """Ids of words, each encoded for itself: many in one call with a mark between them."""
