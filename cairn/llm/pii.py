@@ -40,7 +40,6 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 URL = re.compile(r"[^\s<>\"'`]+")
 ACCOUNT = re.compile(r"(?:\s?(?:no|number|nr|id)\.?)?\s{0,2}[:=#]\s{0,2}[\"']?([A-Za-z0-9_-]{6,128})")
 
-SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 RESULT = T.StructType(
     [T.StructField(f"n_{k}", T.LongType()) for k in KINDS]
     + [T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())]

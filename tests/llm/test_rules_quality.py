@@ -9,9 +9,6 @@ from cairn.llm import site_quality as S
 from cairn.llm import textstats as X
 from cairn.llm import toxicity as Q
 
-GOOD = "The quiet river moved past stones while children counted boats near the old mill and talked about rain. " * 1
-ODD = "a,&&& b*** c%%% d$$$ e### "
-
 
 def text(i, good=True):
     words = [f"w{(i * 31 + k * 17) % 997}x" for k in range(80)]
@@ -120,12 +117,10 @@ def test_quality_posteriors_match_plain_sums(spark, made):
         assert abs(p.host_rate - host) < 1e-9 and abs(p.path_rate - (k + model.path_strength * host) / (n + model.path_strength)) < 1e-9
 
 
-def test_sparse_sites_move_most():
-    import types
-
-    strength, rate = 50.0, 0.8
-    post = lambda n, k: (k + strength * rate) / (n + strength)
-    assert abs(post(2, 0) - rate) < abs(post(200, 0) - rate) and types
+def test_prior_strength_follows_the_spread(spark):
+    df = lambda rates: spark.createDataFrame([(100, 100.0 * r) for r in rates], "n long, k double")
+    spread, even = S.strength(df([0.1, 0.9, 0.2, 0.8]), 0.5), S.strength(df([0.5, 0.5, 0.5, 0.5]), 0.5)
+    assert spread == S.STRENGTH[0] and even == S.STRENGTH[1] and S.strength(df([0.5]), 0.5) == S.STRENGTH[1]
 
 
 def test_toxicity_learns_a_word(spark, tmp_path):
