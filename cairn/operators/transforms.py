@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.arrays import byte_values, flat
 
-SCALE, SYMBOLS = 4096, 344
+SCALE = 4096
 SECTOR = 512
 # Below so many sectors there are so many parity groups.
 GROUPS = ((200, 1), (400, 2), (800, 4), (1600, 8))
