@@ -8,8 +8,12 @@ then takes bands of that string: every octave [2**k, 2**(k+1)) of steps has BAND
 
 The fingerprint is a count of octaves and those bytes as hex; equal texts have equal fingerprints. The
 likeness of two fingerprints (0 to 1) is the share of embedded steps whose bands agree, each octave
-weighted by the steps it stands for. Banded candidates: documents that share a whole band row
-(`band_keys`) are compared by likeness.
+weighted by the steps it stands for.
+
+Search (`near_documents`): equal fingerprints are one class; classes that share a whole band row (`band_keys`) that is
+not beyond both ends are compared by the likeness of their whole fingerprints. A row that many classes
+share is split into tiles, and each pair of tiles is one small group, so that all pairs are compared and no
+task has a hot row. A pair is reported once, in its first shared row. Pairs that share no row are not found.
 
 The next document in ascending id comes without one window over all rows: ids alone give the bounds of
 ranges, each range's first document is also sent to the range before it, and each task reads its ranges in
@@ -32,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import materialise, table
 
 SENT = T.ArrayType(T.StructType([T.StructField("r", T.IntegerType()), T.StructField("guest", T.IntegerType())]))
 SEED, CLASSES, PERIOD = 11, 128, 4096
@@ -120,6 +124,12 @@ def band_keys(fp: str, rows: int = 4) -> list[str]:
     return [f"{k}:{i}:{fp[2 + k * size + 2 * i : 2 + k * size + 2 * (i + rows)]}" for k in range(max(0, n - 2), n) for i in range(0, BANDS, rows)] or [fp]
 
 
+def search_keys(fp: str) -> list[str]:
+    """The band keys that say something: those of rows that are not wholly beyond the text's end. Texts
+    of no octave are like their equals only, so they have none."""
+    return [] if fp[:2] == "00" else [k for k in band_keys(fp) if k.rsplit(":", 1)[1].strip("0")]
+
+
 class Walked:
     """A document with its walk and fingerprint."""
 
@@ -201,5 +211,85 @@ def edit_sketches(docs: DataFrame, parts: int | None = None) -> DataFrame:
     return sent.repartition(parts, "r").sortWithinPartitions("r", "guest", F.col("doc_id").asc_nulls_first(), "text").mapInArrow(with_next, FIELDS)
 
 
+@F.arrow_udf(T.StringType())
+def fingerprints(text: pa.Array) -> pa.Array:
+    return pa.array([fingerprint(t) for t in text.to_pylist()], pa.string())
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def keys_of(fp: pa.Array) -> pa.Array:
+    return pa.array([search_keys(x) for x in fp.to_pylist()], pa.list_(pa.string()))
+
+
+PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("likeness", T.DoubleType())])
+ROWS = 4  # bands in a row of a key
+
+
+def like_pairs(key: str, cross: bool, members: list[tuple], least: float):
+    """(a, b, likeness) of the members (tile, rep, node, fp) of one row or pair of tiles whose first shared row is this one."""
+    octave, at = map(int, key.split(":")[:2])
+    members.sort(key=lambda x: (x[1] is None, x[1] or 0, x[2]))
+    n = np.array([int(m[3][:2], 16) for m in members])
+    grid = np.zeros((len(members), n.max(), BANDS), np.uint8)
+    for i, m in enumerate(members):
+        grid[i, : n[i]] = np.frombuffer(bytes.fromhex(m[3][2:]), np.uint8).reshape(-1, BANDS)
+    # Rows before this one that are keys of a member (of its two highest octaves and not all zero); 0: none.
+    before = [np.where(n <= k + 2, grid[:, k].copy().view("<u4")[:, i], 0) for k in range(max(0, octave - 1), octave + 1) for i in range(BANDS // ROWS) if (k, ROWS * i) < (octave, at)]
+    before = np.stack(before, 1) if before else np.zeros((len(members), 0), np.uint32)
+    tile, weight = np.array([m[0] for m in members]), 2.0 ** np.arange(n.max())
+    for i in range(len(members) - 1):
+        meet = ~((before[i] == before[i + 1 :]) & (before[i] > 0)).any(axis=1)
+        if cross:
+            meet &= tile[i + 1 :] != tile[i]
+        others = i + 1 + np.flatnonzero(meet)
+        x, y = grid[i], grid[others]
+        there = (x > 0) | (y > 0)
+        share = ((there & (x == y)).sum(axis=2) @ weight) / np.maximum(there.sum(axis=2) @ weight, 1e-300)
+        for j in np.flatnonzero(share >= least).tolist():
+            yield members[i][1], members[others[j]][1], float(share[j])
+
+
+def compared(least: float):
+    def run(batches):
+        made = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "likeness"])
+        out, place, members = [], None, []
+        for batch in batches:
+            for key, i, j, *member in zip(*[c.to_pylist() for c in batch.columns]):
+                if place != (key, i, j):
+                    if len(members) > 1:
+                        out.extend(like_pairs(place[0], place[1] != place[2], members, least))
+                    place, members = (key, i, j), []
+                    if len(out) >= 10_000:
+                        yield made(out)
+                        out = []
+                members.append(tuple(member))
+        if len(members) > 1:
+            out.extend(like_pairs(place[0], place[1] != place[2], members, least))
+        if out:
+            yield made(out)
+
+    return run
+
+
+def near_documents(docs: DataFrame, least: float = 0.5, tile: int = 512) -> DataFrame:
+    """(a, b, likeness): pairs of classes of equal fingerprints that share a band row and have a likeness of `least` or
+    more, each named by its least id; and (least id, id, 1.0) for the other ids of a class."""
+    rows = docs.select(F.col("doc_id").cast("long"), fingerprints(F.col("text").cast("string")).alias("fp"))
+    rows = materialise(rows.withColumn("node", F.unhex(F.md5("fp"))), "edit-fingerprints")
+    classes = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp")), "edit-classes")
+    keyed = materialise(classes.select("node", F.explode(keys_of("fp")).alias("key")), "edit-keys")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
+    placed = keyed.join(shared, "key").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("node", "key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile")
+    members = sent.join(classes, "node").select("key", "i", "j", "tile", "rep", "node", "fp")
+    pairs = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compared(least), PAIRS)
+    copies = rows.select("doc_id", "node").join(classes.select("node", "rep"), "node").where(~F.col("doc_id").eqNullSafe(F.col("rep")))
+    return pairs.unionByName(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("likeness")))
+
+
+def near_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def sketch_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_sketches(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .edit_sketch import sketch_query
+from .edit_sketch import near_query, sketch_query
 from .licenses import ORACLE as LICENSES_ORACLE
 from .licenses import licenses_query
 from .packing import packing_query
@@ -24,6 +24,7 @@ QUERIES = {
     "op6_simhash": simhash_query,
     "op7_sentencepiece": sentencepiece_query,
     "op8_edit_sketch": sketch_query,
+    "op8_near_documents": near_query,
     "op9_warc": warc_query,
     "op10_toxicity": toxicity_query,
 }

@@ -338,3 +338,36 @@ def test_likeness_follows_edits(texts):
     far = E.likeness(E.fingerprint(t), E.fingerprint(texts[1]))
     assert E.likeness(E.fingerprint(t), E.fingerprint(t)) == 1.0 and near > 0.4 > 0.2 > far
     assert set(E.band_keys(E.fingerprint(t))) & set(E.band_keys(E.fingerprint(t + "z")))
+
+
+def plain_near(docs, least):
+    """Each pair of different fingerprints (by least id) that shares a band row and is alike; the other ids of a class."""
+    named, out = {}, []
+    for i, t in docs:
+        named.setdefault(E.fingerprint(t), []).append(i)
+    ids = {f: min((i for i in x if i is not None), default=None) for f, x in named.items()}
+    keys = {f: {k for k in E.band_keys(f) if set(k.split(":")[-1]) != {"0"}} for f in named}
+    fps = sorted(named, key=lambda f: (ids[f] is None, ids[f] or 0))
+    for k, f in enumerate(fps):
+        out += [(ids[f], i, 1.0) for i in named[f] if i != ids[f]]
+        out += [(ids[f], ids[g], E.likeness(f, g)) for g in fps[k + 1 :] if keys[f] & keys[g] and E.likeness(f, g) >= least]
+    return sorted(map(str, out))
+
+
+def test_near_documents_match_brute_force(spark, texts, odd):
+    rng = random.Random(8)
+    base = [t for t in texts if len(t) > 600][:12]
+    near = []
+    for t in base:
+        for _ in range(6):
+            at = rng.randrange(len(t))
+            near.append(t[:at] + rng.choice(["x", "", "two words "]) + t[at + rng.randint(0, 3) :])
+    made = [*base, *texts[:60], *near, *near[:9], *ODD]
+    docs = list(enumerate(made)) + [(None, base[0])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = plain_near(docs, 0.5)
+    for tile in (512, 2):  # as one group, and with every row that three share split
+        assert sorted(str((r.a, r.b, r.likeness)) for r in E.near_documents(df, tile=tile).collect()) == want
+    pairs = {(r.a, r.b) for r in E.near_documents(df).collect()}
+    assert len([p for p in pairs if p[1] is not None and p[1] - p[0] > 1]) > 40  # of ids that are no neighbours
+    assert E.near_query(spark, odd[1]).count() == 0 and E.near_query(spark, odd[0]).count() > 0
