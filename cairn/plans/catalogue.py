@@ -212,8 +212,8 @@ def simhash_documents(spark, d):
 
 
 def near_dup_pairs(spark, d):
-    """Pairs of fingerprint classes of documents within 3 bits (each named by its least id)."""
-    return D.near_pairs(D.fingerprints(documents(spark, d)), 3)
+    """Pairs of fingerprint classes of documents within 6 bits, the least that the reference names for text (each named by its least id)."""
+    return D.near_pairs(D.fingerprints(documents(spark, d)), 6)
 
 
 def master_grouping(spark, d):

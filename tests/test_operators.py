@@ -187,6 +187,22 @@ def test_grouping_matches_the_greedy_rule(spark):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_registered_near_pairs_reach_six_bits(spark, tmp_path):
+    from cairn.plans.catalogue import QUERIES
+
+    base = "the quick brown fox jumps over the lazy dog near the old river bank while seven wise owls look on "
+    rng = random.Random(6)
+    texts = [base * 3] + [(base * 3)[:k] + rng.choice("qzxj") * 3 + (base * 3)[k + 3 :] for k in range(5, 280, 7)]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    fps = {}
+    for r in D.fingerprints(D.blobs(spark.read.parquet(f"{tmp_path}/documents.parquet"), "doc_id", "text")).collect():
+        fps[r.fp] = min(fps.get(r.fp, r.blob_id), r.blob_id)
+    gap = lambda a, b: bin((a ^ b) % 2**64).count("1")
+    want = sorted((min(fps[a], fps[b]), max(fps[a], fps[b]), gap(a, b)) for a in fps for b in fps if a < b and gap(a, b) <= 6)
+    assert any(x[2] > 3 for x in want)
+    assert sorted((r.a, r.b, r.distance) for r in QUERIES["near_dup_pairs"](spark, str(tmp_path)).collect()) == want
+
+
 def test_near_pairs_match_brute_force(spark):
     rng = random.Random(2)
     base = [rng.getrandbits(64) for _ in range(20)]
