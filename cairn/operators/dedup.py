@@ -77,30 +77,53 @@ def shared(chunks: DataFrame, key: str = "hash64") -> DataFrame:
     return chunks.select(key, "blob_id").distinct().groupBy(key).agg(F.count("*").alias("n_files"), F.min("blob_id").alias("first_blob")).where("n_files >= 2")
 
 
-def grouped(files: DataFrame, bits: int = 12, materialise=lambda df: df, most_rounds: int = 200) -> DataFrame:
+def settled(rows: list[tuple]) -> list[tuple]:
+    """(blob_id, place) by the greedy rule itself, hash after hash. rows: (place, blob_id), a place for each hash."""
+    holders: dict[tuple, list] = {}
+    for place, blob in rows:
+        holders.setdefault(tuple(place), []).append(blob)
+    out, taken = [], set()
+    for place in sorted(holders):
+        members = [b for b in holders[place] if b not in taken]
+        if len(members) >= 2:
+            taken.update(members)
+            out += [(b, place) for b in members]
+    return out
+
+
+def grouped(files: DataFrame, bits: int = 12, materialise=lambda df: df, rounds: int = 8, few: int = 300_000) -> DataFrame:
     """blob_id, size and the group of each file: which files share a dictionary.
 
     The rule is greedy: hashes are visited in the order of their first chunk; the files still free that
     have the hash form a group if they are two or more. Here it runs in rounds of aggregations: a hash is
     due when none of its free files has an earlier hash that could still take it, and all hashes that are due
-    form their groups at once, with the same outcome. Files without a group share the default dictionary
-    (null place). There is no cap on the files of a group.
+    form their groups at once, with the same outcome. Long chains of files, each sharing chunks with the next only,
+    would take a round for every two files: after `rounds` rounds, as soon as at most `few` rows (hash, file) are left,
+    these are settled in order by the driver; until then rounds go on, however many. Files without a group
+    share the default dictionary (null place). There is no cap on the files of a group.
     """
     sized = files.select("blob_id", F.length("content").cast("long").alias("size"))
     parts = chunked(files.where(F.length("content") >= MIN_FILE).select("blob_id", "content"), bits, weak=True)
     places = parts.groupBy("hash32").agg(F.min(F.struct("blob_id", "chunk_ix")).alias("place"), F.count_distinct("blob_id").alias("n")).where("n >= 2").drop("n")
     free = materialise(parts.select("hash32", "blob_id").distinct().join(places, "hash32"))
-    done = None
-    for _ in range(most_rounds):
+    done, ran = None, 0
+    while True:
         live = free.groupBy("hash32").agg(F.count("*").alias("n")).where("n >= 2").drop("n")
         member = materialise(free.join(live, "hash32"))
-        if member.isEmpty():
+        left = member.count()
+        if not left:
+            break
+        if ran >= rounds and left <= few:
+            won = settled([(r.place, r.blob_id) for r in member.select("place", "blob_id").collect()])
+            last = member.sparkSession.createDataFrame(won, member.select("blob_id", "place").schema)
+            done = last if done is None else done.unionByName(last)
             break
         best = member.groupBy("blob_id").agg(F.min("place").alias("best"))
         due = member.join(best, "blob_id").groupBy("hash32").agg(F.min((F.col("place") == F.col("best")).cast("int")).alias("due")).where("due = 1").drop("due")
         won = materialise(member.join(due, "hash32").select("blob_id", "place"))
         done = won if done is None else done.unionByName(won)
         free = materialise(member.join(won.select("blob_id"), "blob_id", "left_anti"))
+        ran += 1
     if done is None:
         return sized.withColumn("place", F.lit(None).cast("struct<blob_id:bigint,chunk_ix:bigint>"))
     return sized.join(done, "blob_id", "left")

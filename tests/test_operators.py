@@ -187,6 +187,32 @@ def test_grouping_matches_the_greedy_rule(spark):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_grouping_resolves_chains_to_their_end(spark):
+    """File i shares one piece with file i + 1 only, so about two files are settled in a round; short ones show the rounds alone."""
+    piece = lambda i: random.Random(i).randbytes(4000)
+
+    def chain(n):
+        return {i: piece(i) + piece(i + 1) for i in range(n)}
+
+    def hashes(data):
+        v = np.frombuffer(data, np.uint8)
+        _, off, size = K.chunks(v, np.array([0, len(v)]), 8)
+        return [plain_fnv(data[o : o + n], 32) for o, n in zip(off.tolist(), size.tolist())]
+
+    for n, few in ((600, 300_000), (24, 0)):
+        df = spark.createDataFrame(list(chain(n).items()), "blob_id long, content binary")
+        rows = D.grouped(df, 8, lambda x: x.checkpoint(), rounds=1, few=few).collect()
+        got = {}
+        for r in rows:
+            got.setdefault(r.place and tuple(r.place), set()).add(r.blob_id)
+        assert len(rows) == n and None not in got
+        assert sorted(sorted(x) for x in got.values()) == [[i, i + 1] for i in range(0, n, 2)]
+    want = {}
+    for f, g in greedy(chain(24), hashes).items():
+        want.setdefault(g, set()).add(f)
+    assert sorted(map(sorted, want.values())) == [[i, i + 1] for i in range(0, 24, 2)]
+
+
 def test_registered_near_pairs_reach_six_bits(spark, tmp_path):
     from cairn.plans.catalogue import QUERIES
 
