@@ -284,13 +284,23 @@ def running_offsets(spark, d):
     return e.select("dir", "doc_id", "size", (F.col("before") + 29).alias("offset"))
 
 
-def chunk_candidates(spark, d):
-    """Possible chunk ends by built-in functions: a window over the bytes of the benchmark texts."""
+def _candidates(blobs, key):
+    """Possible chunk ends by built-in functions: a window over the bytes of each blob."""
     gear = F.array(*[F.lit(int(g) & 255) for g in gear_table()])
-    rows = X.byte_rows(D.blobs(table(spark, d, "benchmark"), "item_id", "text")).withColumn("g", F.element_at(gear, F.col("v") + 1))
+    rows = X.byte_rows(blobs).withColumn("g", F.element_at(gear, F.col("v") + 1))
     w = Window.partitionBy("blob_id").orderBy("pos")
     h = sum((F.coalesce(F.lag("g", k).over(w), F.lit(0)) * (1 << k) for k in range(BITS)), F.lit(0))
-    return rows.withColumn("h", h % (1 << BITS)).where("h = 0").select(F.col("blob_id").alias("item_id"), F.col("pos").cast("long").alias("pos"))
+    return rows.withColumn("h", h % (1 << BITS)).where("h = 0").select(F.col("blob_id").alias(key), F.col("pos").cast("long").alias("pos"))
+
+
+def chunk_candidates(spark, d):
+    """Possible chunk ends of the benchmark texts."""
+    return _candidates(D.blobs(table(spark, d, "benchmark"), "item_id", "text"), "item_id")
+
+
+def candidates_documents(spark, d):
+    """Possible chunk ends of all documents."""
+    return _candidates(documents(spark, d), "doc_id")
 
 
 def parent_join(spark, d):
@@ -487,6 +497,10 @@ SELECT source AS dir, doc_id, octet_length(encode(text))::BIGINT AS size, (29 +
 WITH gear(v, gv) AS (VALUES {GEAR}),
 b AS (SELECT item_id, generate_subscripts({BYTES}, 1) - 1 AS pos, unnest({BYTES}) AS v FROM benchmark)
 SELECT item_id, pos::BIGINT AS pos FROM (SELECT item_id, pos, ({LAGS}) % {1 << BITS} AS h FROM b JOIN gear USING (v) WINDOW w AS (PARTITION BY item_id ORDER BY pos)) WHERE h = 0""",
+    "candidates_documents": f"""
+WITH gear(v, gv) AS (VALUES {GEAR}),
+b AS (SELECT doc_id, generate_subscripts({BYTES}, 1) - 1 AS pos, unnest({BYTES}) AS v FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))
+SELECT doc_id, pos::BIGINT AS pos FROM (SELECT doc_id, pos, ({LAGS.replace("item_id", "doc_id")}) % {1 << BITS} AS h FROM b JOIN gear USING (v) WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) WHERE h = 0""",
     "parent_join": "SELECT c_custkey, coalesce(n_name, '') AS dir_path, n_name IS NULL AND c_nationkey <> 0 AS lost FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 5 <> 3) ON c_nationkey = n_nationkey",
     "dir_tree": "SELECT (r_regionkey + 1000)::BIGINT AS id, r_name AS path, 1::BIGINT AS depth FROM region UNION ALL SELECT (n_nationkey + 1)::BIGINT, r_name || '/' || n_name, 2::BIGINT FROM nation JOIN region ON n_regionkey = r_regionkey",
     "listing_lines": """
@@ -514,5 +528,5 @@ QUERIES = {f.__name__: f for f in (
     delta_filter_bytes, dos_time_roundtrip, dos_names, bwt_short, parity_sectors, parity_repair, cdc_chunks, chunk_hashes, merkle_root, merkle_similarity, blockstore_ingest,
     blockstore_totals, store_delta, shared_chunk_files, source_overlap, dedup_by_source, simhash_benchmark, simhash_documents, near_dup_pairs, master_grouping, catalog_listing,
     latest_versions, listing_totals, glob_select, subtree_select, as_of_version, dir_paths, master_chain, running_offsets, contains_text,
-    chunk_candidates, parent_join, dir_tree, listing_lines, freshened, signatures, quota_heads,
+    chunk_candidates, candidates_documents, parent_join, dir_tree, listing_lines, freshened, signatures, quota_heads,
 )}

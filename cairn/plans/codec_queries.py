@@ -77,6 +77,14 @@ def rans_roundtrip(spark, d):
     return _turns(spark, d).select(F.col("blob_id").alias("item_id"), checked(lambda x: K.decompress(K.compress(x, 8), len(x), 10) == x)("content").alias("roundtrip_ok"))
 
 
+def huffman_documents(spark, d):
+    return _per_document(spark, d, lambda x: K.decompress(K.compress(x, 4), len(x), 4) == x, "roundtrip_ok")
+
+
+def rans_documents(spark, d):
+    return _per_document(spark, d, lambda x: K.decompress(K.compress(x, 8), len(x), 10) == x, "roundtrip_ok")
+
+
 def huffman_lengths(spark, d):
     """Code lengths of the bytes of each language, at most 13 bits; the Kraft sum is a whole."""
     hist = X.histogram(documents(spark, d, "lang"), "lang").groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("byte", "n"))).alias("h"))
@@ -105,7 +113,7 @@ def digest256(spark, d):
 
 
 def codec_benchmark(spark, d):
-    """Each method on each benchmark text: bytes in, bytes out, ratio. Times are not part of the result."""
+    """Each method on each document: bytes in, bytes out, ratio. Times are not part of the result."""
     methods = {f"level{n}": n for n in range(2, 10)}
 
     @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("method", T.StringType()), T.StructField("csize", T.LongType())])))
@@ -113,8 +121,8 @@ def codec_benchmark(spark, d):
         rows = [[{"method": m, "csize": len(K.compress(x, n))} for m, n in methods.items()] + [{"method": "lz4", "csize": len(K.lz4_compress(x))}] for x in v.to_pylist()]
         return pa.array(rows, pa.list_(pa.struct([("method", pa.string()), ("csize", pa.int64())])))
 
-    out = _turns(spark, d).select(F.length("content").cast("long").alias("size"), F.explode(run("content")).alias("c")).groupBy("c.method").agg(F.sum("size").alias("size"), F.sum("c.csize").alias("csize"))
-    return out.withColumn("ratio", F.round(F.col("csize") * 100 / F.col("size"), 2))
+    out = documents(spark, d).select(F.length("content").cast("long").alias("size"), F.explode(run("content")).alias("c")).groupBy("c.method").agg(F.sum("size").alias("size"), F.sum("c.csize").alias("csize"))
+    return out.withColumn("ratio", F.round(F.col("csize") * 100 / F.nullif(F.col("size"), F.lit(0)), 2))
 
 
 def best_strides(spark, d):
@@ -125,12 +133,22 @@ def best_strides(spark, d):
     return documents(spark, d).select(F.col("blob_id").alias("doc_id"), run("content").alias("stride"))
 
 
-def archive_scan(spark, d):
-    """The benchmark texts in archives of ten files, written, listed and extracted again."""
-    item = _turns(spark, d).select(F.concat(F.lit("a"), F.expr("blob_id div 10")).alias("archive"), F.concat(F.lit("items/"), F.col("blob_id"), F.lit(".txt")).alias("name"), "content", F.lit(0).cast("long").alias("dos_time"))
+def _archived(items, key):
+    """Texts (blob_id, content) in archives of ten files, written, listed and extracted again."""
+    item = items.select(F.concat(F.lit("a"), F.expr("blob_id div 10")).alias("archive"), F.concat(F.lit("items/"), F.col("blob_id"), F.lit(".txt")).alias("name"), "content", F.lit(0).cast("long").alias("dos_time"))
     made = A.create(item)
     listed = A.list_entries(made).where("kind = 'file'").select("path", "seq", "name", "size")
-    return listed.join(A.extract_files(made).select("path", "seq", "content"), ["path", "seq"]).select(F.regexp_extract("name", "([0-9]+)", 1).cast("long").alias("item_id"), "size", F.decode("content", "UTF-8").alias("text"))
+    return listed.join(A.extract_files(made).select("path", "seq", "content"), ["path", "seq"]).select(F.regexp_extract("name", "([0-9]+)", 1).cast("long").alias(key), "size", F.decode("content", "UTF-8").alias("text"))
+
+
+def archive_scan(spark, d):
+    """The benchmark texts in archives."""
+    return _archived(_turns(spark, d), "item_id")
+
+
+def archive_documents(spark, d):
+    """All documents in archives."""
+    return _archived(documents(spark, d), "doc_id")
 
 
 def stream_ingest(spark, d):
@@ -149,15 +167,16 @@ def stream_ingest(spark, d):
 
 
 TRUE_DOCS, TRUE_ITEMS = "SELECT doc_id, true AS roundtrip_ok FROM documents", "SELECT item_id, true AS roundtrip_ok FROM benchmark"
-SQL = {n: TRUE_DOCS for n in ("lz4_roundtrip", "bcj_roundtrip", "delta_filter_roundtrip", "bwt_roundtrip", "dict_roundtrip", "delta_script")} | {
+SQL = {n: TRUE_DOCS for n in ("lz4_roundtrip", "bcj_roundtrip", "delta_filter_roundtrip", "bwt_roundtrip", "dict_roundtrip", "delta_script", "huffman_documents", "rans_documents")} | {
     "huffman_roundtrip": TRUE_ITEMS,
     "rans_roundtrip": TRUE_ITEMS,
     "huffman_lengths": f"SELECT lang, count(DISTINCT v) AS symbols, true AS within_limit, 1.0::DOUBLE AS kraft FROM (SELECT lang, unnest({BYTES}) AS v FROM (SELECT lang, coalesce(text, '') AS text FROM documents)) GROUP BY lang",
     "archive_scan": "SELECT item_id, octet_length(encode(text))::BIGINT AS size, text FROM benchmark",
+    "archive_documents": "SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS size, coalesce(text, '') AS text FROM documents",
     "stream_ingest": f"{CDC} SELECT count(*)::BIGINT AS n_chunks, count(*) FILTER (is_new)::BIGINT AS n_blocks, (sum(length) FILTER (is_new))::BIGINT AS total_bytes, (sum(length) FILTER (NOT is_new))::BIGINT AS saved_bytes FROM f",
 }
 
 QUERIES = {f.__name__: f for f in (
     lz4_roundtrip, bcj_roundtrip, delta_filter_roundtrip, bwt_roundtrip, dict_roundtrip, delta_script, huffman_roundtrip, rans_roundtrip, huffman_lengths, digest256, codec_benchmark,
-    best_strides, archive_scan, stream_ingest,
+    best_strides, archive_scan, stream_ingest, huffman_documents, rans_documents, archive_documents,
 )}
