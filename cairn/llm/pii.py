@@ -6,7 +6,8 @@ address, IP address, card number, phone number, URL or account value and validat
 are leftmost and non-overlapping; a match that fails its check is dropped and its text is not tried again.
 
 Offsets are code points, end exclusive. Kinds in order: email, ip, card, phone (the base kinds), then
-url and account, which the cues add. Time is linear in the text apart from the cues' fixed reach.
+url and account, which the cues add. Time is linear in the text apart from the cues' reach. An account value goes to its real end whatever its length;
+IBANs in groups are checked (mod 97), and a value after IBAN that fails the check still counts as an account.
 
 Cases: a null text is empty and an empty text has no spans; very long texts are scanned whole; repeated
 rows get equal results; other columns are untouched (a column named like the result is replaced).
@@ -38,7 +39,13 @@ DIGITS = re.compile(r"[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 URL = re.compile(r"[^\s<>\"'`]+")
-ACCOUNT = re.compile(r"(?:\s?(?:no|number|nr|id)\.?)?\s{0,2}[:=#]\s{0,2}[\"']?([A-Za-z0-9_-]{6,128})")
+LABEL = r"(?:\s?(?:no|number|nr|id)\b\.?)?"
+#: After a cue and a sign, the value up to its real end: no length cap, and the signs of base64 and of JWT.
+ACCOUNT = re.compile(LABEL + r"\s{0,2}[:=#]\s{0,2}[\"']?([A-Za-z0-9_+/.~=-]+)")
+#: Numbers in groups after a cue, with or without a sign: digits, six at least, and single spaces or hyphens between.
+GROUPED = re.compile(LABEL + r"\s{0,2}[:=#]?\s{0,2}[\"']?([0-9]+(?:[\x20-][0-9]+)*)(?![A-Za-z0-9_+/=~])")
+IBAN = re.compile(LABEL + r"\s{0,2}[:=#]?\s{0,2}[\"']?([A-Za-z]{2}[0-9]{2}(?:[\x20-]?[A-Za-z0-9]){11,30})")
+LEAST = 6
 
 RESULT = T.StructType(
     [T.StructField(f"n_{k}", T.LongType()) for k in KINDS]
@@ -70,6 +77,30 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def iban_end(text: str, start: int, end: int) -> int | None:
+    """Where the longest valid IBAN (mod 97) that begins at start and stops at a group's or word's end, or None."""
+    for stop in range(end, start + 14, -1):
+        if stop < len(text) and text[stop].isalnum() and text[stop - 1].isalnum():
+            continue
+        raw = re.sub("[ -]", "", text[start:stop]).upper()
+        if 15 <= len(raw) <= 34 and text[stop - 1].isalnum() and int("".join(str(int(c, 36)) for c in raw[4:] + raw[:4])) % 97 == 1:
+            return stop
+    return None
+
+
+def account(text: str, at: int) -> tuple[int, int] | None:
+    """The span of the value after a cue that ends at `at`: a checked IBAN, else a number in groups, else one word with a digit."""
+    if (m := IBAN.match(text, at)) and (end := iban_end(text, *m.span(1))):
+        return m.start(1), end
+    if (m := GROUPED.match(text, at)) and m.end() > at and m.start(1) > at and sum("0" <= c <= "9" for c in m[1]) >= LEAST:
+        return m.span(1)
+    if m := ACCOUNT.match(text, at):
+        value = m[1].rstrip(".") if m[1].endswith(".") else m[1]
+        if len(value) >= LEAST and any("0" <= c <= "9" for c in value):
+            return m.start(1), m.start(1) + len(value)
+    return None
+
+
 def find(text: str | None) -> list[tuple[str, int, int]]:
     """All spans as (kind, start, end), by kind as listed, then start."""
     if not text:
@@ -109,10 +140,9 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
                 url_end = m.end()
                 if end > last + 1:
                     found["url"].append((at, end))
-        elif last + 1 > account_end and (m := ACCOUNT.match(text, last + 1)):
-            account_end = m.end()
-            if any("0" <= c <= "9" for c in m[1]):
-                found["account"].append(m.span(1))
+        elif last + 1 > account_end and (span := account(text, last + 1)):
+            account_end = span[1]
+            found["account"].append(span)
     return [(k, s, e) for k in KINDS for s, e in found[k]]
 
 

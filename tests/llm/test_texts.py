@@ -91,6 +91,18 @@ def test_added_kinds_and_masking():
     assert "z.example" not in m and "[EMAIL]" in m and "04dbe" not in m and P.masked("clean", []) == "clean" and P.masked(None, []) is None
 
 
+def test_account_values_are_masked_whole(spark):
+    jwt = "eyJhbGciOiJIUzI1NiJ9." + "eyJzdWIiOiIxMjM0NTY3ODkwIn0." * 8 + "dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"
+    values = ["DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "a1" * 150, jwt, "abCd/Ef+gh1234567890==", "12345678", "1234 5678 9012"]
+    texts = [f"x IBAN: {values[0]} end", f"iban {values[1]}, y", f"secret={values[2]} z", f'token: "{values[3]}".', f"api_key = {values[4]}\nok", f"account number {values[5]}.", f"Account no. {values[6]}, w"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in P.pii_stage(spark, docs, "").collect()}
+    for i, (t, v) in enumerate(zip(texts, values)):
+        assert out[i] == t.replace(v, "[ACCOUNT]"), out[i]
+    for t in ("account of 2020 events", "the token is nice", "IBAN or not", "password: hunter"):
+        assert P.masked(t, P.find(t)) == t
+
+
 def test_pii_query(spark, odd):
     rows = P.pii_query(spark, odd[0]).collect()
     assert len(rows) == len(ODD) + 5
