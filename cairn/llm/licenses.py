@@ -58,6 +58,24 @@ Permission is granted to anyone to use this software for any purpose, including
 3. This notice may not be removed or altered from any source distribution.""",
 }
 
+# Titles that stand above texts kept without one.
+TITLES = {
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"),
+}
+
+# Digests of canonical long texts (whole, as published).
+DIGESTS = {
+    "Apache-2.0": "95f35d79ea3bab75c250549d6a03cef242e0547d78c99e26fcede49936fb0184",
+    "GPL-2.0": "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821",
+    "GPL-3.0": "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a",
+    "LGPL-2.1": "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891",
+    "LGPL-3.0": "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    "MPL-2.0": "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a",
+    "CC0-1.0": "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
+}
+
 # Lines by which a text states its licence.
 NOTICES = {
     "MIT": ("Released under the MIT License.", "Licensed under the MIT License.", "SPDX-License-Identifier: MIT"),
@@ -77,7 +95,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MARKS, PLAIN = "‘’“”–—«» ©", "''\"\"--\"\" c"
 #: Everything in ASCII that is no letter, digit or end of line.
 BETWEEN = "[\\x00-\\x09\\x0B-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-COPYRIGHT = "^(c )?copyright( |$)|^c [0-9]{4}( |$)|^all rights reserved( |$)"
+#: Lines that state a copyright: with a year, the sign or a holder; not running text that a wrap begins with the word.
+COPYRIGHT = (
+    "^(c )?copyright (.* )?[0-9]{4}( |$)|^copyright c( |$)|^c copyright( |$)|^copyright (by|the) .|^copyright .*(inc|ltd|llc|gmbh|corp|corporation|foundation|authors|contributors)( all rights reserved)?$"
+    "|^c [0-9]{4}( |$)|^all rights reserved( |$)"
+)
 
 
 def canonical_lines(text: Column) -> Column:
@@ -102,8 +124,9 @@ def known() -> list[tuple[str, str]]:
     """(digest, licence) of each known text and notice; a text is known with and without its title line."""
     forms = [(n, t) for n, t in TEXTS.items()] + [(n, t.split("\n", 1)[1]) for n, t in TEXTS.items() if len(t.split("\n", 1)[0]) < 40]
     forms += [(n, f"The {t}") for n, t in TEXTS.items() if len(t.split("\n", 1)[0]) < 40] + [("MIT", "The MIT License (MIT)\n" + TEXTS["MIT"].split("\n", 1)[1])]
+    forms += [(n, f"{title}\n{TEXTS[n]}") for n, titles in TITLES.items() for title in titles]
     forms += [(n, t) for n, ts in NOTICES.items() for t in ts]
-    return sorted({hashlib.sha256(canonical(t).encode()).hexdigest(): n for n, t in forms}.items())
+    return sorted(({hashlib.sha256(canonical(t).encode()).hexdigest(): n for n, t in forms} | {d: n for n, d in DIGESTS.items()}).items())
 
 
 def values() -> str:

@@ -46,6 +46,23 @@ def test_license_texts(spark):
     assert (got[7].n_notices, got[7].notices) == (1, "MIT")
 
 
+def test_wrapped_and_titled_originals(spark):
+    import os
+    import textwrap
+
+    wrap = lambda n, w: "\n".join(textwrap.fill(x, w) for x in L.TEXTS[n].split("\n"))
+    isc = wrap("ISC", 72).replace("provided that the above copyright", "provided that the above\ncopyright")
+    rows = [("ISC", "ISC License\n\nCopyright (c) 2020 X\n" + isc.split("\n", 1)[1]), ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2019, Y\nAll rights reserved.\n\n" + wrap("BSD-3-Clause", 78)), ("Zlib", "zlib License\n\n(c) 2001 Z\n" + wrap("Zlib", 70)), ("BSD-2-Clause", "BSD 2-Clause License\nCopyright The Foo Authors\n" + L.TEXTS["BSD-2-Clause"])]
+    isc_line = [x for x in isc.split("\n") if x.startswith("copyright notice")]
+    assert isc_line
+    at = "/usr/share/common-licenses"
+    for n, f in (("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3.0", "LGPL-3"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")):
+        if os.path.exists(f"{at}/{f}"):
+            rows.append((n, open(f"{at}/{f}", encoding="utf-8").read()))
+    got = L.licenses(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.license for r in got} == {i: n for i, (n, _) in enumerate(rows)}
+
+
 def test_licenses_match_sql_and_have_no_python(spark, sf_dir, odd):
     from compare import connection, differences
 
