@@ -13,18 +13,20 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 20_000
 #: Copies of the smaller side when a join on a hot key is salted instead.
 SALTS = 32
+#: A key with more rows than this is joined apart from the others.
+HOT_ROWS = 1000
 #: The ASCII white space that separates words everywhere in this subpackage.
 SPACES = b" \t\n\v\f\r"
 
 
 #: Rows of one Arrow batch. Texts may be long, and a Python worker holds a batch at a time.
-BATCH_ROWS, SPARKS_OWN = "1000", "10000"
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Smaller Arrow batches for this session, unless it has a size of its own."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == SPARKS_OWN:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """Smaller Arrow batches for this session, unless it was given a size of its own."""
+    if BATCH_SETTING not in spark.conf.getAll:
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,26 +37,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where the session names none (local tests) is a temporary one made and set.
+    Only where a local session names none (tests) is a temporary one made and set.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="cairn-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+#: Tables that materialise() wrote and that are still there, oldest first.
+_WRITTEN: list[str] = []
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df once as a table in the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
     small_batches(spark)
     path = f"{shared_dir(spark)}/cairn/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> int:
+    """How many tables there are: where drop_tables may begin later."""
+    return len(_WRITTEN)
+
+
+def drop_tables(spark: SparkSession, first: int = 0, last: int | None = None) -> None:
+    """Delete the tables that materialise() wrote, from number `first` to `last`. Results not yet read need theirs."""
+    paths = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in _WRITTEN[first:last]:
+        at = paths(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    del _WRITTEN[first:last]
+
+
 def bounded_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
     """Equi-join a large table with a materialised one of unique keys.
 
@@ -68,6 +89,22 @@ def bounded_join(left: DataFrame, right: DataFrame, keys: list[str], how: str =
     return salted.join(copies, [*keys, "__salt"], how).drop("__salt")
 
 
+def skewed_join(left: DataFrame, right: DataFrame, key: str, count: str = "n", hot: int = HOT_ROWS) -> DataFrame:
+    """Inner equi-join on one key with a materialised table of unique keys whose column `count` holds the number of
+    rows that left has of each. Keys of more than `hot` rows are joined by bounded_join, the others by a shuffle.
+
+    left is read twice if there are hot keys. Column `count` is not in the result.
+    """
+    many = right.where(F.col(count) > hot).drop(count)
+    if many.isEmpty():
+        return left.join(right.drop(count), key)
+    many = many.withColumn("__hot", F.lit(True))
+    tagged = bounded_join(left, materialise(many, "hot"), [key])
+    others = [c for c in many.columns if c != key]
+    rest = tagged.where("__hot is null").drop(*others).join(right.where(F.col(count) <= hot).drop(count), key)
+    return tagged.where("__hot").drop("__hot").unionByName(rest)
+
+
 def labels_of(labels: DataFrame, column: str) -> DataFrame:
     """doc_id and one 0/1 label; null ids and null labels go, repeated ids keep the smallest label."""
     return (
@@ -83,34 +120,37 @@ def fold(doc_id: Column | str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")), F.lit(5)).cast("int")
 
 
-def thinned(df: DataFrame, most: int, key: str = "doc_id") -> DataFrame:
-    """Rows whose key's hash lies below a bound that leaves about 2 * most of them, with the hash in __h.
+def thinned(df: DataFrame, most: int, *keys: str) -> DataFrame:
+    """Rows whose keys' hash lies below a bound that leaves about 2 * most of them, with the hash in __h.
 
     Without it each task would send its `most` smallest rows to the driver, more with every task.
     """
-    df = df.withColumn("__h", F.xxhash64(key))
+    df = df.withColumn("__h", F.xxhash64(*keys))
     n = df.count()
     return df if n <= 2 * most else df.where(F.col("__h") < int(-(2**63) + 2**64 * (2 * most / n)))
 
 
-def sample_rows(df: DataFrame, columns: list[str], most: int, key: str = "doc_id") -> list:
-    """At most `most` rows, those of the smallest hash of the key: the same rows in every run."""
-    return thinned(df, most, key).select(*columns, "__h").orderBy("__h", *columns).limit(most).collect()
+def sample_rows(df: DataFrame, columns: list[str], most: int, *keys: str) -> list:
+    """At most `most` rows, those of the smallest hash of the keys: the same rows in every run."""
+    return thinned(df, most, *keys).select(*columns, "__h").orderBy("__h", *columns).limit(most).collect()
 
 
 def threshold(hist: list[tuple[int, int, int]], bins: int, false_reject: float) -> int:
     """The lowest bin that is rejected, from (bin, good rows, bad rows) where high bins look bad.
 
     Among cuts that reject at most the share `false_reject` of the good rows, the one with the best
-    difference of rejected shares; without good or without bad rows nothing is rejected.
+    difference of rejected shares. Without bad rows it is the lowest of these cuts; without good rows, or if
+    no cut rejects a larger share of the bad rows than of the good, nothing is rejected.
     """
     good, bad = np.zeros(bins + 1), np.zeros(bins + 1)
     for b, g, x in hist:
         good[b] += g
         bad[b] += x
-    if not good.sum() or not bad.sum():
+    if not good.sum():
         return bins + 1
     g = np.cumsum(good[::-1])[::-1] / good.sum()
+    if not bad.sum():
+        return int(np.argmax(np.append(g <= false_reject, True)))
     x = np.cumsum(bad[::-1])[::-1] / bad.sum()
     gain = np.where(g <= false_reject, x - g, -1.0)
     best = int(np.argmax(gain))

@@ -1,16 +1,22 @@
 """Quality rules: an isolation forest on rule statistics (operator 2).
 
 Each document gets counts (words, symbols, repeated lines and word windows). Two base rules fail short
-and repetitive texts. For the rest an isolation forest measures how quickly random splits separate the
-document's ratios from those of good rows; a cut on that score, set from labelled rows, rejects outliers.
+and repetitive texts. For the rest an isolation forest measures how quickly random splits separate a
+document's ratios from those of the others: the score is 2 ** (-mean path length / expected length), and
+nothing else enters it. A cut on that score, set from labelled rows, rejects outliers.
 
-Bounds: the forest is built from at most `sample` good labelled rows (those of the smallest id hash), the
-cut from the scores of all labelled rows, as a histogram of BINS bins. Everything else sees every row.
+The ratios are logarithms, so that a split is as likely to fall among small values as beyond them, and the
+trees are small (DRAWN rows each), so that a group of like outliers does not hide its members.
+
+Bounds: the forest is built from at most `sample` rows of all that pass the base rules and are not labelled bad
+(those of the smallest hash of id and counts), the cut from the scores of all labelled rows, as a histogram of BINS bins.
+Everything else sees every row.
 
 Cases: a null or empty text has no words and fails the base rules; null ids are scored but never
-labelled; repeated rows get equal verdicts; without labels of both kinds only the base rules reject;
-an empty table gives an empty result; columns of the input beside doc_id and text are never read, and a
-clashing name cannot matter because results are in one struct column of a reserved name.
+labelled; repeated rows get equal verdicts; without good labels only the base rules reject, without bad ones
+the cut is set by the good rows alone; an empty table gives an empty result; columns of the input beside
+doc_id and text are never read, and a clashing name cannot matter because results are in one struct column
+of a reserved name.
 """
 
 from __future__ import annotations
@@ -21,24 +27,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import labels_of, materialise, sample_rows, table, threshold
+from .common import labels_of, materialise, table, thinned, threshold
 from .textstats import text_stats
 
 BINS = 1000
-TREES, DRAWN, SEED = 100, 256, 7
+TREES, DRAWN, SEED = 200, 128, 7
 SAMPLE = 8192
 FALSE_REJECT = 0.002
-#: The least range of each feature, so that one odd character in a clean text is not far outside.
-FLOORS = np.array([1.0, 0.05, 0.05, 0.05, 0.05, 0.05, 0.05])
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_repeat_words", "n_lines", "n_upper", "n_bang", "n_digits", "n_ends", "n_distinct")
 
 
 def features(s: pa.StructArray) -> np.ndarray:
-    """Ratios that do not depend on a text's length."""
-    v = {f: np.asarray(s.field(f).fill_null(0), float) for f in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_bang", "n_digits")}
+    """Logarithms of ratios that do not depend on a text's length; small ones differ little."""
+    v = {f: np.asarray(s.field(f).fill_null(0), float) for f in COUNTS}
     words, chars, lines = (np.maximum(v[f], 1) for f in ("n_words", "word_chars", "n_lines"))
+    ratio = lambda a, b, least: np.log(v[a] / b + least)
     return np.stack([
-        np.clip(chars / words, 0, 40), v["n_symbols"] / words, v["n_dup_lines"] / lines, v["n_repeat_words"] / words,
-        v["n_upper"] / chars, v["n_bang"] / words, np.log1p(v["n_digits"] / chars),
+        np.log(chars / words), ratio("n_symbols", words, 0.01), ratio("n_repeat_words", words, 0.01), ratio("n_bang", words, 0.01),
+        ratio("n_upper", chars, 0.01), ratio("n_digits", chars, 0.01), ratio("n_ends", lines, 0.001),
+        np.log(np.maximum(v["n_distinct"], 1) / words) / np.log(np.maximum(words, 2)),
     ], axis=1)
 
 
@@ -55,7 +62,6 @@ class Forest:
         n = min(drawn, len(x))
         self.depth = max(1, int(np.ceil(np.log2(max(n, 2)))))
         self.norm = max(unsuccessful(n), 1e-9)
-        self.low, self.high = x.min(axis=0), x.max(axis=0)
         self.trees = [self._grow(x[rng.choice(len(x), n, replace=False)], rng) for _ in range(trees)]
 
     def _grow(self, x, rng):
@@ -80,20 +86,19 @@ class Forest:
         node(x, 0)
         return tuple(np.array(a) for a in (feature, cut, left, right, length))
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        """0 to 1; larger is more anomalous. How far a row lies outside the fitted ranges counts too:
-        beyond the last split all rows share a leaf, so the excess in units of the range is added."""
-        if not len(x):
-            return np.zeros(0)
+    def path_lengths(self, x: np.ndarray) -> np.ndarray:
+        """The mean over the trees of the path length of each row."""
         total, rows = np.zeros(len(x)), np.arange(len(x))
         for feature, cut, left, right, length in self.trees:
             at = np.zeros(len(x), np.int64)
             for _ in range(self.depth):
                 at = np.where(x[rows, feature[at]] < cut[at], left[at], right[at])
             total += length[at]
-        span = np.maximum(self.high - self.low, FLOORS)
-        outside = np.maximum(np.maximum(self.low - x, x - self.high) / span, 0).sum(axis=1)
-        return 1 - (1 - 2 ** (-total / len(self.trees) / self.norm)) / (1 + outside)
+        return total / len(self.trees)
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        """0 to 1; larger is more anomalous."""
+        return 2 ** (-self.path_lengths(x) / self.norm)
 
 
 def with_stats(docs: DataFrame, out: str = "__stats") -> DataFrame:
@@ -119,14 +124,16 @@ def scored(df: DataFrame, model: tuple[Forest | None, int], out: str = "__rules"
 def fit(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE, false_reject: float = FALSE_REJECT) -> tuple[Forest | None, int]:
     """The forest and the first rejected bin, from a materialised table of doc_id and __stats."""
     passing = stats.where("__stats.n_words >= 50 and 100 * __stats.n_repeat_words <= 50 * __stats.n_words")
-    labelled = passing.join(labels_of(labels, "quality"), "doc_id")
-    names = stats.schema["__stats"].dataType.names
-    rows = sample_rows(labelled.where("__label = 1"), [f"__stats.{f}" for f in names], sample, "doc_id")
+    names = [f"__stats.{f}" for f in COUNTS]
+    known = labels_of(labels, "quality")
+    some = thinned(passing.select("doc_id", "__stats"), sample, "doc_id", *names).join(known.where("__label = 0"), "doc_id", "left_anti")
+    rows = some.orderBy("__h", *names).select(*names).limit(sample).collect()
     if not rows:
         return None, BINS + 1
-    x = features(pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))], names))
+    x = features(pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(COUNTS))], COUNTS))
     forest = Forest(x)
-    hist = scored(labelled, (forest, BINS + 1)).groupBy("__rules.bin").agg(F.sum("__label").alias("good"), F.sum(1 - F.col("__label")).alias("bad")).collect()
+    labelled = scored(passing.select("doc_id", "__stats").join(known, "doc_id"), (forest, BINS + 1))
+    hist = labelled.groupBy("__rules.bin").agg(F.sum("__label").alias("good"), F.sum(1 - F.col("__label")).alias("bad")).collect()
     return forest, threshold([tuple(r) for r in hist], BINS, false_reject)
 
 
@@ -140,6 +147,6 @@ def rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, with their columns as they were."""
-    model = fit(materialise(with_stats(docs.select("doc_id", "text")).drop("text"), "rule-stats"), table(spark, sf_dir, "labels"))
-    return scored(with_stats(docs), model).where("__rules.kept").select(*docs.columns)
+    """Documents that the rules keep, with their columns as they were. The counts are made once, beside the rows."""
+    rows = materialise(with_stats(docs), "rule-stats")
+    return scored(rows, fit(rows, table(spark, sf_dir, "labels"))).where("__rules.kept").select(*docs.columns)
