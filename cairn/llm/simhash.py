@@ -16,7 +16,9 @@ leave it. Equal fingerprints are one row before the join, so copies never meet i
 35 bits and a fingerprint about 60 of them, whatever the data.
 
 Components: alternating large-star and small-star passes over a table of links, each written to the
-shared folder; the table never grows and nothing is collected but its size and a checksum.
+shared folder, until nothing changes; the table never grows and nothing is collected but its size and a
+checksum. Roots of many nodes and fingerprints of many copies are joined apart from the others, so that no
+key is one task's burden.
 
 Cases: null or empty texts and those without a word have fingerprint 0, linked like any other; fewer than 4
 words make one shingle; null ids keep a row and never lower a component id (a component of null ids only
@@ -34,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import encoded, materialise, table
+from .common import bounded_join, drop_tables, encoded, materialise, skewed_join, table, written
 
 WORDS, SEED, DISTANCE = 4, 42, 4
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
@@ -134,50 +136,54 @@ def exploded(batches):
 
 def links(fps: DataFrame) -> DataFrame:
     """Each pair (u, v), u < v, of different fingerprints at most DISTANCE bits apart. fps: distinct column fp."""
+    first = written()
     keyed = fps.mapInArrow(exploded, T.StructType([T.StructField("key", T.LongType()), T.StructField("fp", T.LongType())]))
     keyed = materialise(keyed, "golay-keys")
     a, b = keyed.select("key", F.col("fp").alias("u")), keyed.select("key", F.col("fp").alias("v"))
     x = F.col("u").bitwiseXOR(F.col("v"))
     found = a.join(b, "key").where((F.col("u") < F.col("v")) & (F.bit_count(x) <= DISTANCE) & (F.shiftright("key", 40) == first_kind(x)))
-    return found.select("u", "v").distinct()
+    found = materialise(found.select("u", "v").distinct(), "links")
+    drop_tables(fps.sparkSession, first, -1)
+    return found
 
 
-def components(pairs: DataFrame, most: int = 60) -> DataFrame:
+def components(pairs: DataFrame) -> DataFrame:
     """node and root (the smallest node of its component) for every node of the links (u, v), u != v."""
-    kind = pairs.schema["u"].dataType
-    edges = materialise(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    spark, kind, first = pairs.sparkSession, pairs.schema["u"].dataType, written()
+    edges = materialise(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "star")
     state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    before = state(edges)
-    for _ in range(most):
-        if not before[0]:
-            break
+    before, after = None, state(edges)
+    while after[0] and after != before:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
-        edges = materialise(small, "star")
-        after = state(edges)
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError(f"components: no fixed point after {most} passes")
+        low = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.sum((F.col("v") > F.col("u")).cast("long")).alias("n")), "low")
+        large = skewed_join(both.where("v > u"), low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = materialise(large, "large-star")
+        low = materialise(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "low")
+        small = skewed_join(large, low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        edges = materialise(small.select("e.*").where("u != v").distinct(), "star")
+        drop_tables(spark, first, -1)
+        before, after = after, state(edges)
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots).select(F.col("node").cast(kind), F.col("root").cast(kind))
 
 
+def rooted(rows: DataFrame, *order: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes (fp, best, n) from rows with column fp: the least struct of the columns `order` and the number of rows;
+    and, for the fingerprints with a link, node, root and best."""
+    nodes = materialise(rows.groupBy("fp").agg(F.min(F.struct(*order)).alias("best"), F.count("*").alias("n")), "nodes")
+    roots = components(links(nodes.select("fp")))
+    return nodes, materialise(nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "root", "best"), "rooted")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id of each row of docs. Equal fingerprints are one node; links join nodes."""
-    rows = materialise(docs.select("doc_id", fingerprints(F.col("text").cast("string")).alias("fp")), "fingerprints")
-    nodes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    linked = links(nodes.select("fp"))
-    roots = components(linked)
-    grouped = materialise(
-        nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
-    least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = grouped.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    rows = docs.select("doc_id", fingerprints(F.col("text").cast("string")).alias("fp")).withColumn("none", F.col("doc_id").isNull())
+    rows = materialise(rows, "fingerprints")
+    nodes, linked = rooted(rows, "none", "doc_id")
+    least = materialise(linked.groupBy("root").agg(F.min("best").alias("least")), "least")
+    named = bounded_join(linked.select("fp", "root"), least, ["root"]).select("fp", "least")
+    named = materialise(nodes.join(named, "fp", "left").select("fp", "n", F.coalesce("least", "best")["doc_id"].alias("component_id")), "named")
+    return skewed_join(rows.select("doc_id", "fp"), named, "fp").select("doc_id", "fp", "component_id")
 
 
 def hex16(fp: Column) -> Column:
@@ -190,11 +196,12 @@ def simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: that whose id names it. Of repeated ids one row stays, and rows without an id stay."""
-    found = near_duplicates(docs.select("doc_id", "text"))
-    lost = found.where("doc_id is not null and doc_id != component_id").select("doc_id").distinct()
-    kept = docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
-    again = kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if again.isEmpty():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    """One document of each component: the row of the least id (null ids last); of equal ids that of the least
+    hash of its text, and of equal rows the first. Rows are told apart by a number of their own, not by doc_id."""
+    rows = docs.withColumn("__fp", fingerprints(F.col("text").cast("string"))).withColumn("__row", F.monotonically_increasing_id())
+    rows = materialise(rows, "fingerprinted")
+    order = [F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("h"), F.col("__row").alias("row")]
+    nodes, linked = rooted(rows.select(F.col("__fp").alias("fp"), *order), "none", "doc_id", "h", "row")
+    alone = nodes.join(linked.select("fp"), "fp", "left_anti").select("best.row")
+    first = linked.groupBy("root").agg(F.min("best").alias("best")).select("best.row")
+    return rows.join(alone.union(first), F.col("__row") == F.col("row"), "left_semi").select(*docs.columns)

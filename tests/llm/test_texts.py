@@ -286,7 +286,38 @@ def test_one_document_of_each_group_stays(spark, odd):
     out = H.simhash_stage(spark, docs, odd[0])
     comp = {r.doc_id: r.component_id for r in H.simhash_query(spark, odd[0]).collect()}
     ids = [r.doc_id for r in out.collect()]
-    assert out.schema == docs.schema and sorted(i for i in ids if i is not None) == sorted({c for c in comp.values() if c is not None}) and ids.count(None) == 1
+    assert out.schema == docs.schema and sorted(i for i in ids if i is not None) == sorted({c for c in comp.values() if c is not None}) and ids.count(None) == 0
+
+
+def test_the_stage_tells_rows_apart_not_ids(spark, sf_dir):
+    x, y = ("alpha beta gamma delta " * 9).strip(), ("one two three four five six " * 9).strip()
+    stay = lambda rows: sorted((r.doc_id, r.text) for r in H.simhash_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir).collect())
+    assert stay([(3, y), (5, x), (5, y), (9, x)]) == [(3, y), (5, x)]
+    assert stay([(7, x), (7, y), (7, x)]) == sorted([(7, x), (7, y)])
+    none = H.simhash_stage(spark, spark.createDataFrame([(None, x), (None, x), (None, y), (2, y), (None, None), (None, "")], "doc_id long, text string"), sf_dir)
+    assert sorted(r.text or "" for r in none.collect()) == sorted(["", x, y])
+
+
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    from cairn.llm import common as C
+
+    left = spark.createDataFrame([(k, i) for k, n in ((1, 500), (2, 3), (3, 40)) for i in range(n)], "k long, i long")
+    right = C.materialise(left.groupBy("k").agg(F.count("*").alias("n"), F.max("i").alias("m")), "t")
+    for hot in (10, 100, 1000):
+        for limit in (0, 20_000):
+            monkeypatch.setattr(C.bounded_join, "__defaults__", ("left", limit))
+            got = C.skewed_join(left, right, "k", hot=hot)
+            assert sorted(got.columns) == ["i", "k", "m"] and sorted((r.k, r.i, r.m) for r in got.collect()) == sorted((k, i, n - 1) for k, n in ((1, 500), (2, 3), (3, 40)) for i in range(n))
+
+
+def test_components_leave_one_table(spark):
+    from cairn.llm import common as C
+
+    before = C.written()
+    H.components(spark.createDataFrame([(i, i + 1) for i in range(50)], "u long, v long"))
+    assert C.written() == before + 1
+    C.drop_tables(spark, before)
+    assert C.written() == before
 
 
 # ---- SentencePiece
