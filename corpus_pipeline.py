@@ -1,7 +1,8 @@
 """The corpus pipeline: documents in, packed token sequences out, in five stages.
 
 Each stage works on what the one before kept, written as Parquet and read again, so a lost executor costs
-no more than the tasks it had. All but the last return the columns of documents.
+no more than the tasks it had. All but the last return the columns of documents. The tables that a stage
+wrote for itself are deleted when its result is there; the stages' results stay.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm.common import shared_dir, table
+from cairn.llm.common import drop_tables, shared_dir, table, written
 from cairn.llm.packing import packing_stage
 from cairn.llm.pii import pii_stage
 from cairn.llm.quality_rules import rules_stage
@@ -54,7 +55,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/cairn/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
+        first = written()
         out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{folder}/{name}")
+        drop_tables(spark, first)
         docs = spark.read.schema(out.schema).parquet(f"{folder}/{name}")
     return docs
