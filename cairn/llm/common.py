@@ -139,8 +139,8 @@ def threshold(hist: list[tuple[int, int, int]], bins: int, false_reject: float)
     """The lowest bin that is rejected, from (bin, good rows, bad rows) where high bins look bad.
 
     Among cuts that reject at most the share `false_reject` of the good rows, the one with the best
-    difference of rejected shares. Without bad rows it is the lowest of these cuts; without good rows, or if
-    no cut rejects a larger share of the bad rows than of the good, nothing is rejected.
+    difference of rejected shares, in the middle of a gap without rows. Without bad rows it is the lowest of
+    these cuts; without good rows, or if no cut rejects a larger share of the bad rows, nothing is rejected.
     """
     good, bad = np.zeros(bins + 1), np.zeros(bins + 1)
     for b, g, x in hist:
@@ -153,8 +153,9 @@ def threshold(hist: list[tuple[int, int, int]], bins: int, false_reject: float)
         return int(np.argmax(np.append(g <= false_reject, True)))
     x = np.cumsum(bad[::-1])[::-1] / bad.sum()
     gain = np.where(g <= false_reject, x - g, -1.0)
-    best = int(np.argmax(gain))
-    return best if gain[best] > 0 else bins + 1
+    best = np.flatnonzero(gain == gain.max())
+    best = best[: int(np.argmax(np.append(np.diff(best) > 1, True))) + 1]  # the first run
+    return int(best[len(best) // 2]) if gain.max() > 0 else bins + 1
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 30) -> np.ndarray:
