@@ -4,10 +4,12 @@
 2. Grouped sums give each path (here: source and language) and each host (source) its count of rows and
    of good rows; a row counts by its label where it has one outside the held-out fold, else by the
    model's probability.
-3. Hosts shrink toward the global rate, paths toward their host, by beta priors whose strengths come from
-   the spread between hosts, and between paths, by the method of moments: sparse sites move most.
-4. A document's score joins its evidence with its path's posterior rate. The cut is set on the histogram
-   of all labelled training rows.
+3. Hosts shrink toward the global rate, paths toward their host, by beta priors. How much follows from the
+   spread of the rates between hosts, and between the paths of a host, beyond what chance gives (method of
+   moments): no such spread, and all share one rate; a wide spread, and a site soon stands for itself. A prior
+   weighs one row at least, so that no rate is 0 or 1.
+4. A document's score adds the log odds of its path's posterior rate, without the document's own part in it, to
+   its evidence: no weight or limit is set by hand. The cut is set on the histogram of all labelled training rows.
 
 Bounds: the logistic model sees at most `sample` labelled rows (those of the smallest id hash outside the
 held-out fold). The sums, the spreads, the cut and the scores cover every row. Sites are joined back by
@@ -27,16 +29,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_join, fold, labels_of, logistic, materialise, sample_rows, table, threshold
+from .common import bounded_join, fold, labels_of, logistic, materialise, sample_rows, skewed_join, table, threshold
 from .textstats import text_stats
 
-SAMPLE = 20_000
+SAMPLE = 8000
 BINS = 1000
 FALSE_REJECT = 0.002
-#: Weight of the site's log odds beside the document's own evidence, and the most it may move them.
-SITE_WEIGHT, SITE_MOST = 0.5, 1.0
-#: The strength of a prior is kept within these numbers of rows.
-STRENGTH = (10.0, 10_000.0)
+#: The least strength of a prior, in rows.
+LEAST_STRENGTH = 1.0
 
 
 def features(s: str) -> list[Column]:
@@ -56,8 +56,8 @@ class Model:
     weights: list[float]
     base: float  # rate of good rows in the sample
     rate: float  # global rate over all rows
-    host_strength: float
-    path_strength: float
+    host_pull: float  # one over the strength of a host's prior in rows: what a row weighs against it
+    path_pull: float
     cut: int  # first rejected bin of 1 - score
 
 
@@ -71,14 +71,22 @@ def logit(p: Column) -> Column:
     return F.log(p) - F.log(1 - p)
 
 
-def strength(rates: DataFrame, mean: float) -> float:
-    """Strength of a beta prior from groups (n, k): moments of their rates, weighted by rows."""
-    r = rates.agg(F.sum("n").alias("n"), F.count("*").alias("g"), F.sum(F.col("n") * F.pow(F.col("k") / F.col("n") - mean, 2)).alias("ss")).first()
-    if not r.n or r.g < 2:
-        return STRENGTH[1]
-    within = mean * (1 - mean)
-    between = max((r.ss - r.g * within) / r.n, 1e-9)
-    return float(np.clip(within / between - 1, *STRENGTH))
+def pull(groups: DataFrame) -> float:
+    """One over the strength of the beta priors of groups within their parents, 0 to 1 / LEAST_STRENGTH.
+
+    groups: n, k of each group, and n and k of its parent as parent, parent_n, parent_k. The squares of the rates
+    around their parent's, weighted by rows, are (G - 1) p q for G groups by chance alone; the correlation of rows of
+    one group adds p q (N - sum n^2 / N - (G - 1)) times itself. It is 1 / (1 + strength).
+    """
+    rate = F.col("k") / F.col("n")
+    p = F.least(F.greatest(F.col("parent_k") / F.col("parent_n"), F.lit(1e-6)), F.lit(1 - 1e-6))
+    each = groups.groupBy("parent", p.alias("p"), "parent_n").agg(F.count("*").alias("g"), F.sum(F.col("n") * F.pow(rate - p, 2)).alias("ss"), F.sum(F.pow(F.col("n").cast("double"), 2)).alias("nn"))
+    pq = F.col("p") * (1 - F.col("p"))
+    found = each.agg(F.sum(F.col("ss") - pq * (F.col("g") - 1)).alias("over"), F.sum(pq * (F.col("parent_n") - F.col("nn") / F.col("parent_n") - (F.col("g") - 1))).alias("room")).first()
+    if not found.room or found.room <= 0 or found.over <= 0:
+        return 0.0
+    rho = min(found.over / found.room, 0.5)
+    return float(min(rho / (1 - rho), 1 / LEAST_STRENGTH))
 
 
 def prepared(docs: DataFrame, host: str, path: str) -> DataFrame:
@@ -86,9 +94,17 @@ def prepared(docs: DataFrame, host: str, path: str) -> DataFrame:
     return docs.withColumn("__site", F.struct(name(host).alias("host"), name(path).alias("path"), text_stats(F.col("text").cast("string")).alias("stats")))
 
 
-def fit(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE, false_reject: float = FALSE_REJECT) -> tuple[Model | None, DataFrame | None]:
-    """The model and the table of paths with posterior rates; rows: a materialised table of doc_id and __site."""
+def chance(model: Model) -> Column:
+    """The model's probability from the text alone, at the sample's base rate."""
+    return 1 / (1 + F.exp(-(evidence(model, "__site.stats") + float(np.log(model.base / (1 - model.base))))))
+
+
+def fit(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE, false_reject: float = FALSE_REJECT, sites: bool = True) -> tuple[Model | None, DataFrame | None]:
+    """The model and the table of paths (n, k, and those of their hosts); rows: a materialised table of doc_id and __site.
+
+    sites=False: priors of endless strength, so that sites have no say (to measure what they do)."""
     known = labels_of(labels, "quality").where(fold() != 0)
+    rows = rows.select("doc_id", "__site")
     labelled = rows.join(known, "doc_id")
     named = [f.alias(f"f{i}") for i, f in enumerate(features("__site.stats"))]
     got = sample_rows(labelled.select("doc_id", "__label", *named), ["__label", *[f"f{i}" for i in range(len(named))]], sample, "doc_id")
@@ -96,38 +112,42 @@ def fit(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE, false_reject:
     if not 0 < y.sum() < len(y):
         return None, None
     w = logistic(np.array([r[1:-1] for r in got], float), y)
-    model = Model([float(v) for v in w], float(y.mean()), 0.5, 1.0, 1.0, BINS + 1)
-    own = 1 / (1 + F.exp(-(evidence(model, "__site.stats") + float(np.log(y.mean() / (1 - y.mean()))))))
-    sites = rows.join(known, "doc_id", "left").groupBy(F.col("__site.host").alias("host"), F.col("__site.path").alias("path")).agg(
-        F.count("*").alias("n"), F.sum(F.coalesce(F.col("__label").cast("double"), own)).alias("k"))
-    sites = materialise(sites, "sites")
-    hosts = sites.groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    total = hosts.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
+    model = Model([float(v) for v in w], float(y.mean()), 0.5, 0.0, 0.0, BINS + 1)
+    site = [F.col("__site.host").alias("__host"), F.col("__site.path").alias("__path")]
+    # Null ids have no label; they stay out of the join, where they would meet in one task.
+    parts = [rows.where("doc_id is not null").join(known, "doc_id", "left").select(*site, F.coalesce(F.col("__label").cast("double"), chance(model)).alias("good")),
+             rows.where("doc_id is null").select(*site, chance(model).alias("good"))]
+    paths = materialise(parts[0].unionByName(parts[1]).groupBy("__host", "__path").agg(F.count("*").alias("n"), F.sum("good").alias("k")), "paths")
+    hosts = materialise(paths.groupBy("__host").agg(F.sum("n").alias("host_n"), F.sum("k").alias("host_k")), "hosts")
+    total = hosts.agg(F.sum("host_n").alias("n"), F.sum("host_k").alias("k")).first()
     model.rate = float(np.clip(total.k / total.n, 1e-3, 1 - 1e-3))
-    model.host_strength, model.path_strength = strength(hosts, model.rate), strength(sites, model.rate)
-    hosts = hosts.select("host", ((F.col("k") + model.host_strength * model.rate) / (F.col("n") + model.host_strength)).alias("host_rate"))
-    paths = sites.join(hosts, "host").select(
-        F.col("host").alias("__host"), F.col("path").alias("__path"), "host_rate",
-        ((F.col("k") + model.path_strength * F.col("host_rate")) / (F.col("n") + model.path_strength)).alias("path_rate"))
-    paths = materialise(paths, "paths")
+    paths = materialise(skewed_join(paths, materialise(hosts.join(paths.groupBy("__host").agg(F.count("*").alias("rows")), "__host"), "hosts"), "__host", "rows"), "sites")
+    if sites:
+        model.host_pull = pull(hosts.select(F.lit(0).alias("parent"), F.col("host_n").alias("n"), F.col("host_k").alias("k"), F.lit(total.n).alias("parent_n"), F.lit(total.k).alias("parent_k")))
+        model.path_pull = pull(paths.select(F.col("__host").alias("parent"), "n", "k", F.col("host_n").alias("parent_n"), F.col("host_k").alias("parent_k")))
     bad = F.least(((1 - F.col("__quality.score")) * BINS).cast("int"), F.lit(BINS))
-    hist = scored(labelled, model, paths).groupBy(bad.alias("bin")).agg(F.sum("__label").alias("good"), F.sum(1 - F.col("__label")).alias("bad")).collect()
+    hist = scored(labelled, model, paths, own=F.col("__label")).groupBy(bad.alias("bin")).agg(F.sum("__label").alias("good"), F.sum(1 - F.col("__label")).alias("bad")).collect()
     model.cut = threshold([tuple(r) for r in hist], BINS, false_reject)
     return model, paths
 
 
-def scored(rows: DataFrame, model: Model | None, paths: DataFrame | None, out: str = "__quality") -> DataFrame:
-    """rows (with __site) and struct `out`: evidence, host_rate, path_rate, score, kept."""
+def scored(rows: DataFrame, model: Model | None, paths: DataFrame | None, out: str = "__quality", own: Column | None = None) -> DataFrame:
+    """rows (with __site) and struct `out`: evidence, host_rate, path_rate, score, kept.
+
+    own: what a row itself gave to the sums of its site, the model's probability unless it is said; it is taken out."""
     if model is None:
         half = F.lit(0.5)
         return rows.withColumn(out, F.struct(F.lit(0.0).alias("evidence"), half.alias("host_rate"), half.alias("path_rate"), half.alias("score"), F.lit(True).alias("kept")))
-    joined = bounded_join(rows.withColumn("__host", F.col("__site.host")).withColumn("__path", F.col("__site.path")), paths, ["__host", "__path"])
-    own = evidence(model, "__site.stats")
-    host, path = (F.coalesce(F.col(c), F.lit(model.rate)) for c in ("host_rate", "path_rate"))
-    shift = F.greatest(F.lit(-SITE_MOST), F.least(F.lit(SITE_MOST), SITE_WEIGHT * (logit(path) - float(np.log(model.rate / (1 - model.rate))))))
-    score = F.round(1 / (1 + F.exp(-(own + shift + float(np.log(model.rate / (1 - model.rate)))))), 6)
+    sums = F.struct(*[F.col(c).cast("double").alias(c) for c in ("n", "k", "host_n", "host_k")])
+    joined = bounded_join(rows.withColumn("__host", F.col("__site.host")).withColumn("__path", F.col("__site.path")), paths.select("__host", "__path", sums.alias("__sums")), ["__host", "__path"])
+    own = chance(model) if own is None else own
+    others = lambda n, k, pull, prior: (F.greatest(F.col(f"__sums.{k}") - own, F.lit(0.0)) * pull + prior) / ((F.col(f"__sums.{n}") - 1) * pull + 1)
+    host = others("host_n", "host_k", model.host_pull, F.lit(model.rate))
+    path = others("n", "k", model.path_pull, host)
+    score = F.round(1 / (1 + F.exp(-(evidence(model, "__site.stats") + logit(path)))), 6)
     kept = F.least(((1 - score) * BINS).cast("int"), F.lit(BINS)) < model.cut
-    return joined.withColumn(out, F.struct(own.alias("evidence"), host.alias("host_rate"), path.alias("path_rate"), score.alias("score"), kept.alias("kept"))).drop("__host", "__path", "host_rate", "path_rate")
+    result = F.struct(evidence(model, "__site.stats").alias("evidence"), host.alias("host_rate"), path.alias("path_rate"), score.alias("score"), kept.alias("kept"))
+    return joined.withColumn(out, result).drop("__host", "__path", "__sums")
 
 
 def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,10 +159,7 @@ def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier keeps, with their columns as they were."""
-    rows = materialise(prepared(docs.select("doc_id", "source", "lang", "text"), "source", "lang").select("doc_id", "__site"), "site-stats")
+    """Documents that the classifier keeps, with their columns as they were. The counts are made once, beside the rows."""
+    rows = materialise(prepared(docs, "source", "lang"), "site-stats")
     model, paths = fit(rows, table(spark, sf_dir, "labels"))
-    clash = [c for c in ("host_rate", "path_rate") if c in docs.columns]
-    whole = docs.withColumn("__row", F.struct(*docs.columns)).drop(*clash)
-    kept = scored(prepared(whole, "source", "lang"), model, paths).where("__quality.kept")
-    return kept.select([F.col("__row")[c].alias(c) for c in docs.columns])
+    return scored(rows, model, paths).where("__quality.kept").select(*docs.columns)

@@ -145,31 +145,70 @@ def test_quality(spark, made):
     assert S.quality_query(spark, made[1]).count() == 0
 
 
-def test_quality_posteriors_match_plain_sums(spark, made):
+def plain_pull(groups):
+    """groups: (parent, n, k). One over the prior's strength, from sums over each parent's groups."""
+    over = room = 0.0
+    for parent in {g[0] for g in groups}:
+        own = [(n, k) for p, n, k in groups if p == parent]
+        total = sum(n for n, _ in own)
+        p = min(max(sum(k for _, k in own) / total, 1e-6), 1 - 1e-6)
+        over += sum(n * (k / n - p) ** 2 for n, k in own) - p * (1 - p) * (len(own) - 1)
+        room += p * (1 - p) * (total - sum(n * n for n, _ in own) / total - (len(own) - 1))
+    if room <= 0 or over <= 0:
+        return 0.0
+    rho = min(over / room, 0.5)
+    return min(rho / (1 - rho), 1.0)
+
+
+def test_quality_scores_match_plain_sums(spark, made):
     docs = spark.read.parquet(f"{made[0]}/documents.parquet")
     rows = S.materialise(S.prepared(docs, "source", "lang").select("doc_id", "__site"), "t")
     model, paths = S.fit(rows, spark.read.parquet(f"{made[0]}/labels.parquet"))
     base = float(np.log(model.base / (1 - model.base)))
-    label = {i: int(i % 5 != 0) for i in range(0, 300, 2) if i != 4 or True}
-    got = rows.select("doc_id", "__site.host", "__site.path", S.evidence(model, "__site.stats").alias("e")).collect()
-    total = {}
+    label = {i: int(i % 5 != 0) for i in range(0, 300, 2)}
+    got = S.scored(rows, model, paths).select("doc_id", "__site.host", "__site.path", "__quality.*").collect()
+    n, k = {}, {}
     for r in got:
         known = r.doc_id in label and zlib.crc32(str(r.doc_id).encode()) % 5 != 0
-        k = label[r.doc_id] if known else 1 / (1 + np.exp(-(r.e + base)))
-        for key in ((r.host,), (r.host, r.path)):
-            n, s = total.get(key, (0, 0.0))
-            total[key] = n + 1, s + k
-    for p in paths.collect():
-        n, k = total[(p["__host"],)]
-        host = (k + model.host_strength * model.rate) / (n + model.host_strength)
-        n, k = total[(p["__host"], p["__path"])]
-        assert abs(p.host_rate - host) < 1e-9 and abs(p.path_rate - (k + model.path_strength * host) / (n + model.path_strength)) < 1e-9
+        good = label[r.doc_id] if known else 1 / (1 + np.exp(-(r.evidence + base)))
+        for key in ((), (r.host,), (r.host, r.path)):
+            n[key], k[key] = n.get(key, 0) + 1, k.get(key, 0.0) + good
+    rate = k[()] / n[()]
+    host_pull = plain_pull([((), n[x], k[x]) for x in n if len(x) == 1])
+    path_pull = plain_pull([(x[0], n[x], k[x]) for x in n if len(x) == 2])
+    assert abs(model.rate - rate) < 1e-9 and abs(model.host_pull - host_pull) < 1e-9 and abs(model.path_pull - path_pull) < 1e-9
+    for r in got:
+        own = 1 / (1 + np.exp(-(r.evidence + base)))
+        host = (max(k[(r.host,)] - own, 0) * host_pull + rate) / ((n[(r.host,)] - 1) * host_pull + 1)
+        path = (max(k[(r.host, r.path)] - own, 0) * path_pull + host) / ((n[(r.host, r.path)] - 1) * path_pull + 1)
+        assert abs(r.host_rate - host) < 1e-9 and abs(r.path_rate - path) < 1e-9
+        assert abs(r.score - 1 / (1 + np.exp(-(r.evidence + np.log(path / (1 - path)))))) < 1e-6 and r.kept == (min(int((1 - r.score) * S.BINS), S.BINS) < model.cut)
+
+
+def test_sites_decide_where_texts_are_alike(spark, tmp_path):
+    """Hosts h0 to h5 are good, h6 and h7 bad, and no text says so; path p9 of the good host h0 is bad. One host has one row."""
+    d, bad = str(tmp_path), lambda i: i % 8 > 5 or (i % 8 == 0 and i % 3 == 0)
+    rows = [(i, text(i % 37), f"h{i % 8}", "p9" if i % 3 == 0 else "p1") for i in range(2400)] + [(9000, text(1), "new", "p1")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, int(not bad(i)), 0) for i in range(0, 2400) if i // 24 % 2], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    got = {r.doc_id: r for r in S.quality_query(spark, d).collect()}
+    assert all(got[i].kept != bad(i) for i in range(2400)) and got[9000].kept
+    assert got[6].host_rate < 0.5 < got[1].host_rate and got[0].path_rate < 0.5 < got[8].path_rate and got[6].path_rate < got[9000].path_rate < got[1].path_rate
+    rows = S.materialise(S.prepared(spark.read.parquet(f"{d}/documents.parquet"), "source", "lang"), "t")
+    alone = S.scored(rows, *S.fit(rows, spark.read.parquet(f"{d}/labels.parquet"), sites=False))
+    assert sum(r["__quality"].kept == bad(r.doc_id) for r in alone.where("doc_id < 2400").collect()) > 100
 
 
 def test_prior_strength_follows_the_spread(spark):
-    df = lambda rates: spark.createDataFrame([(100, 100.0 * r) for r in rates], "n long, k double")
-    spread, even = S.strength(df([0.1, 0.9, 0.2, 0.8]), 0.5), S.strength(df([0.5, 0.5, 0.5, 0.5]), 0.5)
-    assert spread == S.STRENGTH[0] and even == S.STRENGTH[1] and S.strength(df([0.5]), 0.5) == S.STRENGTH[1]
+    def pull(rates, n=100):
+        k = [n * r for r in rates]
+        rows = [(0, n, float(x), n * len(k), float(sum(k))) for x in k]
+        got = S.pull(spark.createDataFrame(rows, "parent int, n long, k double, parent_n long, parent_k double"))
+        assert abs(got - plain_pull([(0, n, x) for x in k])) < 1e-12
+        return got
+
+    assert pull([0.5] * 4) == 0.0 and pull([0.5]) == 0.0 and pull([0.0, 1.0]) == 1.0
+    assert 0 < pull([0.45, 0.65, 0.5, 0.4]) < pull([0.3, 0.7, 0.4, 0.6]) < 1
 
 
 def test_toxicity_learns_a_word(spark, tmp_path):
