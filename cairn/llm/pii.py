@@ -1,8 +1,8 @@
 """Personal data: anchor expansion (operator 3).
 
 One Aho-Corasick pass over the whole text finds anchors: at-signs, plus-signs, digits, URL schemes and
-identifier cues. At each anchor a deterministic local parser expands to the boundaries of an email
-address, IP address, card number, phone number, URL or account value and validates it. Each kind's spans
+identifier cues, whatever their case. At each anchor a deterministic local parser expands to the
+boundaries of an email address, IP address, card number, phone number, URL or account value and validates it. Each kind's spans
 are leftmost and non-overlapping; a match that fails its check is dropped and its text is not tried again.
 
 Offsets are code points, end exclusive. Kinds in order: email, ip, card, phone (the base kinds), then
@@ -39,7 +39,7 @@ DIGITS = re.compile(r"[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 URL = re.compile(r"[^\s<>\"'`]+")
-LABEL = r"(?:\s?(?:no|number|nr|id)\b\.?)?"
+LABEL = r"(?:\s?(?i:no|number|nr|id)\b\.?)?"
 #: After a cue and a sign, the value up to its real end: no length cap, and the signs of base64 and of JWT.
 ACCOUNT = re.compile(LABEL + r"\s{0,2}[:=#]\s{0,2}[\"']?([A-Za-z0-9_+/.~=-]+)")
 #: Numbers in groups after a cue, with or without a sign: digits, six at least, and single spaces or hyphens between.
@@ -60,16 +60,23 @@ def automaton() -> ahocorasick.Automaton:
         a.add_word(d, ("digit", 1))
     a.add_word("@", ("email", 1))
     a.add_word("+", ("phone", 1))
-    for s in SCHEMES:
-        for v in {s, s.upper(), s.capitalize()}:
-            a.add_word(v, ("url", len(v)))
-    for c in CUES:
-        for v in {c, c.upper(), c.capitalize()}:
-            a.add_word(v, ("account", len(v)))
+    for kind, words in (("url", SCHEMES), ("account", CUES)):
+        for w in words:
+            a.add_word(w, (kind, len(w)))
     a.make_automaton()
     return a
 
 
+#: A-Z to a-z, for the rare texts that lower() would make longer.
+LOWER = {i: i + 32 for i in range(65, 91)}
+
+
+def lowered(text: str) -> str:
+    """The text in lower case, each character at its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(LOWER)
+
+
 def luhn(digits: str) -> bool:
     total = sum(map(int, digits[-1::-2]))
     for d in digits[-2::-2]:
@@ -107,7 +114,7 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
         return []
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     email_end = phone_end = ip_end = ip_tried = card_end = url_end = account_end = 0
-    for last, (kind, size) in automaton().iter(text):
+    for last, (kind, size) in automaton().iter(lowered(text)):
         at = last + 1 - size
         if kind == "digit":
             if at >= card_end and (m := CARD.match(text, at)):
@@ -193,7 +200,7 @@ def pii(docs: DataFrame, out: str = "pii") -> DataFrame:
 
 def pii_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", *[F.col(f"pii.n_{k}").alias(f"n_{k}") for k in BASE], "pii.base_sha256", "pii.spans", "pii.n_url", "pii.n_account")
+    return found.select("doc_id", *[F.col(f"pii.n_{k}").alias(f"n_{k}") for k in BASE], "pii.base_sha256", "pii.spans", "pii.n_url", "pii.n_account", sum((F.col(f"pii.n_{k}") for k in KINDS), F.lit(0)).alias("n_spans"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -120,6 +120,26 @@ def test_account_values_are_masked_whole(spark):
         assert P.masked(t, P.find(t)) == t
 
 
+@pytest.mark.parametrize("cue", ["API Key", "api KEY", "PassWord", "ToKeN", "Account No", "aCCt", "IBan"])
+def test_cues_of_any_case(cue):
+    for before in ("", "İ x ", "Straße İİ "):
+        t = f"{before}{cue}: abc12345 end"
+        spans = [(k, t[s:e]) for k, s, e in P.find(t)]
+        assert spans == [("account", "abc12345")] and P.masked(t, P.find(t)) == f"{before}{cue}: [ACCOUNT] end"
+    assert [k for k, _, _ in P.find("see HttP://a.example/x")] == ["url"]
+
+
+def test_masking_of_null_empty_and_long_texts(spark):
+    secret, long = "t0ken" * 60, "word " * 200_000
+    rows = [(1, None, 5), (2, "", 5), (3, long + "token: " + secret, 5), (4, "mail a.b@c.example, a.b@c.example", 5), (4, "mail a.b@c.example, a.b@c.example", 5), (None, "ip 10.0.0.1", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int").withColumn("pii", F.lit("mine")).withColumn("spans", F.lit(1))
+    out = P.pii_stage(spark, docs, "")
+    assert out.schema == docs.schema and out.limit(0).count() == 0 and P.pii_stage(spark, docs.limit(0), "").count() == 0
+    got = sorted(((r.doc_id or 0, r.text, r.n_chars, r.pii, r.spans) for r in out.collect()), key=str)
+    want = [(0, "ip [IP]", 7, "mine", 1), (1, None, None, "mine", 1), (2, "", 0, "mine", 1), (3, long + "token: [ACCOUNT]", len(long) + 16, "mine", 1)] + [(4, "mail [EMAIL], [EMAIL]", 21, "mine", 1)] * 2
+    assert got == sorted(want, key=str)
+
+
 def test_pii_query(spark, odd):
     rows = P.pii_query(spark, odd[0]).collect()
     assert len(rows) == len(ODD) + 5
