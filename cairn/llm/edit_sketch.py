@@ -13,7 +13,8 @@ weighted by the steps it stands for.
 Search (`near_documents`): equal fingerprints are one class; classes that share a whole band row (`band_keys`) that is
 not beyond both ends are compared by the likeness of their whole fingerprints. A row that many classes
 share is split into tiles, and each pair of tiles is one small group, so that all pairs are compared and no
-task has a hot row. A pair is reported once, in its first shared row. Pairs that share no row are not found.
+task has a hot row. A pair is reported once, in its first shared row. Pairs that share no row are not found. The
+result is a row for each document, with its class and the number of classes linked to it (`near_pairs` lists the links).
 
 The next document in ascending id comes without one window over all rows: ids alone give the bounds of
 ranges, each range's first document is also sent to the range before it, and each task reads its ranges in
@@ -36,11 +37,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, table
+from .common import materialise, skewed_join, table
 
 SENT = T.ArrayType(T.StructType([T.StructField("r", T.IntegerType()), T.StructField("guest", T.IntegerType())]))
 SEED, CLASSES, PERIOD = 11, 128, 4096
 LAST, BANDS = 40, 32  # octaves 2**0 to 2**LAST
+#: The least likeness of a link.
+LEAST = 0.5
 
 FIELDS = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("n_chars", T.LongType()), T.StructField("edited_sha256", T.StringType()), T.StructField("fingerprint", T.StringType()),
@@ -221,18 +224,18 @@ def keys_of(fp: pa.Array) -> pa.Array:
     return pa.array([search_keys(x) for x in fp.to_pylist()], pa.list_(pa.string()))
 
 
-PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("likeness", T.DoubleType())])
+PAIRS = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType()), T.StructField("likeness", T.DoubleType())])
 ROWS = 4  # bands in a row of a key
 
 
 def like_pairs(key: str, cross: bool, members: list[tuple], least: float):
-    """(a, b, likeness) of the members (tile, rep, node, fp) of one row or pair of tiles whose first shared row is this one."""
+    """(a, b, likeness) of the members (tile, node, fp) of one row or pair of tiles whose first shared row is this one."""
     octave, at = map(int, key.split(":")[:2])
-    members.sort(key=lambda x: (x[1] is None, x[1] or 0, x[2]))
-    n = np.array([int(m[3][:2], 16) for m in members])
+    members.sort(key=lambda x: x[1])
+    n = np.array([int(m[2][:2], 16) for m in members])
     grid = np.zeros((len(members), n.max(), BANDS), np.uint8)
     for i, m in enumerate(members):
-        grid[i, : n[i]] = np.frombuffer(bytes.fromhex(m[3][2:]), np.uint8).reshape(-1, BANDS)
+        grid[i, : n[i]] = np.frombuffer(bytes.fromhex(m[2][2:]), np.uint8).reshape(-1, BANDS)
     # Rows before this one that are keys of a member (of its two highest octaves and not all zero); 0: none.
     before = [np.where(n <= k + 2, grid[:, k].copy().view("<u4")[:, i], 0) for k in range(max(0, octave - 1), octave + 1) for i in range(BANDS // ROWS) if (k, ROWS * i) < (octave, at)]
     before = np.stack(before, 1) if before else np.zeros((len(members), 0), np.uint32)
@@ -251,7 +254,7 @@ def like_pairs(key: str, cross: bool, members: list[tuple], least: float):
 
 def compared(least: float):
     def run(batches):
-        made = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "likeness"])
+        made = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.binary(), pa.float64()))], ["a", "b", "likeness"])
         out, place, members = [], None, []
         for batch in batches:
             for key, i, j, *member in zip(*[c.to_pylist() for c in batch.columns]):
@@ -271,20 +274,28 @@ def compared(least: float):
     return run
 
 
-def near_documents(docs: DataFrame, least: float = 0.5, tile: int = 512) -> DataFrame:
-    """(a, b, likeness): pairs of classes of equal fingerprints that share a band row and have a likeness of `least` or
-    more, each named by its least id; and (least id, id, 1.0) for the other ids of a class."""
-    rows = docs.select(F.col("doc_id").cast("long"), fingerprints(F.col("text").cast("string")).alias("fp"))
-    rows = materialise(rows.withColumn("node", F.unhex(F.md5("fp"))), "edit-fingerprints")
-    classes = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp")), "edit-classes")
+def near_pairs(classes: DataFrame, least: float = LEAST, tile: int = 512) -> DataFrame:
+    """(a, b, likeness), a < b: nodes of classes (node, fp), a materialised table, that share a band row and have a
+    likeness of `least` or more."""
     keyed = materialise(classes.select("node", F.explode(keys_of("fp")).alias("key")), "edit-keys")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
-    placed = keyed.join(shared, "key").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", "n", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
+    placed = skewed_join(keyed, materialise(shared, "edit-rows"), "key").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("node", "key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile")
-    members = sent.join(classes, "node").select("key", "i", "j", "tile", "rep", "node", "fp")
-    pairs = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compared(least), PAIRS)
-    copies = rows.select("doc_id", "node").join(classes.select("node", "rep"), "node").where(~F.col("doc_id").eqNullSafe(F.col("rep")))
-    return pairs.unionByName(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("likeness")))
+    members = sent.join(classes, "node").select("key", "i", "j", "tile", "node", "fp")
+    return members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compared(least), PAIRS)
+
+
+def near_documents(docs: DataFrame, least: float = LEAST, tile: int = 512) -> DataFrame:
+    """doc_id, class_id (the least id of its fingerprint's class), n_copies (rows of the class), n_links (other classes
+    of a likeness of `least` or more) and best_likeness (0 without a link) for each row."""
+    rows = docs.select(F.col("doc_id").cast("long"), fingerprints(F.col("text").cast("string")).alias("fp"))
+    rows = materialise(rows.withColumn("node", F.unhex(F.md5("fp"))), "edit-fingerprints")
+    classes = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("class_id"), F.min("fp").alias("fp"), F.count("*").alias("n_copies")), "edit-classes")
+    ends = near_pairs(classes.select("node", "fp"), least, tile).select(F.explode(F.array("a", "b")).alias("node"), "likeness")
+    linked = ends.groupBy("node").agg(F.count("*").alias("n_links"), F.max("likeness").alias("best_likeness"))
+    named = classes.join(linked, "node", "left").select(
+        "node", "class_id", "n_copies", F.col("n_copies").alias("n"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("best_likeness", F.lit(0.0)).alias("best_likeness"))
+    return skewed_join(rows.select("doc_id", "node"), materialise(named, "edit-named"), "node").drop("node")
 
 
 def near_query(spark: SparkSession, sf_dir: str) -> DataFrame:

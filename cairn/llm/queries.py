@@ -24,7 +24,7 @@ QUERIES = {
     "op6_simhash": simhash_query,
     "op7_sentencepiece": sentencepiece_query,
     "op8_edit_sketch": sketch_query,
-    "op8_near_documents": near_query,
+    "near_documents_by_edits": near_query,
     "op9_warc": warc_query,
     "op10_toxicity": toxicity_query,
 }
