@@ -20,8 +20,23 @@ def gear_table(seed: str = "gear") -> np.ndarray:
     return np.array([int.from_bytes(hashlib.md5(f"{seed}-{b}".encode()).digest()[:4], "big") for b in range(256)], np.uint32)
 
 
+#: Fewer values than this are hashed one by one.
+FEW = 24
+
+
+def fnv_on(h: int, data: bytes, bits: int = 64) -> int:
+    """FNV-1a from a state on."""
+    prime, mask = (FNV64 if bits == 64 else FNV32)[1], (1 << bits) - 1
+    for b in data:
+        h = (h ^ b) * prime & mask
+    return h
+
+
 def fnv(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, bits: int = 64) -> np.ndarray:
-    """FNV-1a of data[start:start+length] for all values at once: step j takes byte j of every value that long."""
+    """FNV-1a of data[start:start+length] for all values at once: step j takes byte j of every value that long.
+
+    When few values are left their bytes are taken one value after the other, in whole numbers of Python: a step over an
+    array costs as much as some FEW single ones, and a long value alone would need a step for each of its bytes."""
     kind = np.uint64 if bits == 64 else np.uint32
     basis, prime = (kind(x) for x in (FNV64 if bits == 64 else FNV32))
     order = np.argsort(-lengths, kind="stable")
@@ -32,6 +47,10 @@ def fnv(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, bits: int = 6
         for j in range(int(size[0]) if live else 0):
             while live and size[live - 1] <= j:
                 live -= 1
+            if live < FEW:
+                for i in range(live):
+                    h[i] = fnv_on(int(h[i]), data[at[i] + j : at[i] + size[i]].tobytes(), bits)
+                break
             h[:live] = (h[:live] ^ data[at[:live] + j].astype(kind)) * prime
     out = np.empty_like(h)
     out[order] = h

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import drop, written
+
 # Attribute bits and their letters in a listing, in its order.
 ATTRIBUTES = ((32, "a"), (16, "d"), (8, "l"), (4, "s"), (2, "h"), (1, "r"))
 # Names of compression levels.
@@ -66,12 +69,26 @@ def glob_regex(pattern: str) -> str:
     return f"^{out}$"
 
 
+def path_matches(pattern: str, path: str = "path") -> Column:
+    """Whether a path matches, component by component; a trailing slash takes the whole subtree."""
+    rx = "/".join(glob_regex(p)[1:-1] for p in pattern.split("/") if p)
+    return F.col(path).rlike(f"^{rx}{'(/.*)?' if pattern.endswith('/') else ''}$")
+
+
 def select_paths(entries: DataFrame, pattern: str, path: str = "path") -> DataFrame:
-    """Entries whose path matches, component by component; a trailing slash takes the whole subtree."""
-    subtree = pattern.endswith("/")
-    parts = [p for p in pattern.split("/") if p]
-    rx = "/".join(glob_regex(p)[1:-1] for p in parts)
-    return entries.where(F.col(path).rlike(f"^{rx}{'(/.*)?' if subtree else ''}$"))
+    """Entries whose path matches."""
+    return entries.where(path_matches(pattern, path))
+
+
+def select_named(entries: DataFrame, names: list[str]) -> DataFrame:
+    """Entries (path, version) that one of the names takes: a pattern of paths, with ;N for version N, ;* for all, or neither
+    for the newest."""
+    wanted = F.lit(False)
+    for name in names:
+        pattern, sign, version = name.rpartition(";")
+        pattern, version = (pattern, version) if sign and (version == "*" or version.isdigit()) else (name, "0")
+        wanted |= path_matches(pattern) & (F.lit(True) if version == "*" else F.col("version") == int(version))
+    return entries.where(wanted)
 
 
 def with_ancestors(paths: DataFrame, path: str = "path") -> DataFrame:
@@ -83,7 +100,8 @@ def with_ancestors(paths: DataFrame, path: str = "path") -> DataFrame:
 
 def walk_order(entries: DataFrame) -> list[Column]:
     """Sort columns of a listing: parents first, the files of a directory before its directories."""
-    return [F.regexp_replace("path", "/[^/]*$", ""), F.col("is_dir"), F.col("path")]
+    parent = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise("")
+    return [parent, F.col("is_dir"), F.col("path")]
 
 
 def as_of(entries: DataFrame, keys: list[str], time: str, at: Column, tie: str) -> DataFrame:
@@ -92,15 +110,56 @@ def as_of(entries: DataFrame, keys: list[str], time: str, at: Column, tie: str)
     return entries.where(F.col(time) <= at).groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(best).select("e.*")
 
 
-def chain_sql(table: str, key: str = "id", parent: str = "master") -> str:
-    """Recursive SQL from each row up its chain of parents: path, depth, and whether it runs in a circle."""
-    return f"""
-WITH RECURSIVE up(start, at, path, depth, cyclic) AS (
-  SELECT {key}, {parent}, array({key}), 0, false FROM {table}
-  UNION ALL
-  SELECT up.start, t.{parent}, concat(up.path, array(t.{key})), up.depth + 1, array_contains(up.path, t.{key})
-  FROM up JOIN {table} t ON up.at = t.{key} WHERE NOT up.cyclic)
-SELECT start AS {key}, max(depth) AS depth, bool_or(cyclic) AS cyclic FROM up GROUP BY start"""
+def _climbed(rows: DataFrame, joined: Callable[[Column, Column], dict[str, Column]]) -> DataFrame:
+    """Pointer doubling: rows (key, ptr, ...), ptr null at the top. Each round every pointer takes its target's, and the
+    other columns are those of `joined` of a row and its target, so that 2 ** n steps take n rounds.
+
+    A row that is not in or below a circle ends sooner or later, and while there is one some row ends in each round:
+    what still has a pointer when no row has ended leads into a circle."""
+    rows = written(rows)
+    left = rows.where("ptr is not null").count()
+    while left:
+        a, b = rows.alias("a"), rows.alias("b")
+        at = lambda side: lambda c: F.col(f"{side}.{c}")
+        new = joined(at("a"), at("b"))
+        up = a.where("ptr is not null").join(b, F.col("a.ptr") == F.col("b.key")).select(
+            *[(F.col("b.ptr") if c == "ptr" else new.get(c, F.col(f"a.{c}"))).alias(c) for c in rows.columns])
+        before, rows = rows, written(rows.where("ptr is null").unionByName(up))
+        drop(before)
+        now = rows.where("ptr is not null").count()
+        if now == left:
+            break
+        left = now
+    return rows
+
+
+def chains(df: DataFrame, key: str = "id", parent: str = "master") -> DataFrame:
+    """key, depth and cyclic of each row of unique keys, up its chain of parents: how many rows stand above it, or, if the
+    chain runs into a circle, how many steps lead to a row for the second time. A parent that is not there is none.
+
+    Any depth and any number of rows: each round of a few joins doubles the steps, and nothing is collected but counts."""
+    keys = df.select(F.col(key).alias("ptr"))
+    own = df.select(F.col(key).alias("key"), F.col(parent).alias("above"))
+    start = written(own.join(keys, own["above"] == keys["ptr"], "left").select("key", "ptr"))
+    depth = F.col("ptr").isNotNull().cast("long").alias("depth")
+    upward = lambda a, b: {"depth": a("depth") + b("depth"), "top": b("top")}
+    rows = _climbed(start.select("key", "ptr", depth, F.coalesce("ptr", "key").alias("top")), upward)
+    ended = rows.where("ptr is null").select(F.col("key").alias(key), "depth", F.lit(False).alias("cyclic"))
+    caught = rows.where("ptr is not null").select("key")
+    n = caught.count()
+    if not n:
+        return ended
+    live = written(start.join(caught, "key", "left_semi"))
+    ring = live.select("key", "ptr", F.col("key").alias("least"))
+    for _ in range(max(1, (n - 1).bit_length())):  # then each pointer is on its circle, and `least` of all of a circle's rows
+        a, b = ring.alias("a"), ring.alias("b")
+        ring = written(a.join(b, F.col("a.ptr") == F.col("b.key")).select("a.key", "b.ptr", F.least("a.least", "b.least").alias("least")))
+    on = written(ring.select(F.col("ptr").alias("key")).distinct().join(ring, "key").select("key", "least"))
+    sizes = on.groupBy("least").agg(F.count("*").alias("size"))
+    circle = written(on.join(sizes, "least").select(F.col("key").alias("top"), "size"))
+    tails = live.join(on.select("key", F.lit(True).alias("on")), "key", "left").select("key", F.when(F.col("on").isNull(), F.col("ptr")).alias("ptr"))
+    below = _climbed(tails.select("key", "ptr", depth, F.coalesce("ptr", "key").alias("top")), upward)
+    return ended.unionByName(below.join(circle, "top").select(F.col("key").alias(key), (F.col("depth") + F.col("size")).alias("depth"), F.lit(True).alias("cyclic")))
 
 
 def dos_time(ts: Column) -> Column:
@@ -198,13 +257,12 @@ def with_parent(entries: DataFrame, dirs: DataFrame) -> DataFrame:
     return joined.withColumn("lost", F.col("dir_path").isNull() & (F.col("dir_id") != 0)).withColumn("dir_path", F.coalesce("dir_path", F.lit("")))
 
 
-def full_paths_sql(table: str) -> str:
-    """Recursive SQL for the path of each directory from rows (id, parent, name); the root has the id 0."""
-    return f"""
-WITH RECURSIVE down(id, path, depth) AS (
-  SELECT id, name, 1 FROM {table} WHERE parent = 0
-  UNION ALL SELECT t.id, concat(down.path, '/', t.name), down.depth + 1 FROM down JOIN {table} t ON t.parent = down.id)
-SELECT id, path, depth FROM down"""
+def full_paths(df: DataFrame, root: int = 0) -> DataFrame:
+    """id, path and depth of each directory from rows (id, parent, name), by pointer doubling as in chains(). Those that
+    no way leads down to from the root are left out."""
+    start = df.select(F.col("id").alias("key"), F.when(F.col("parent") != root, F.col("parent")).alias("ptr"), F.col("name").alias("path"), F.lit(1).cast("long").alias("depth"))
+    rows = _climbed(start, lambda a, b: {"path": F.concat(b("path"), F.lit("/"), a("path")), "depth": a("depth") + b("depth")})
+    return rows.where("ptr is null").select(F.col("key").alias("id"), "path", "depth")
 
 
 def listing_line(path: Column, size: Column, time: Column, attr: Column, version: Column) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import cdc_chunks, digest_list, fnv64, simhash64
+from .lineage import written
 
 BITS = 8
 #: A chunk counts as shared only among files of at least this size.
@@ -51,25 +54,39 @@ def common_chunks(a: DataFrame, b: DataFrame, key_a: str, key_b: str, pair: str)
         F.coalesce(F.sum(F.when(hit, F.col("length")).otherwise(0)) / F.nullif(F.sum("length"), F.lit(0)), F.lit(0.0)).alias("similarity"))
 
 
+def first_places(chunks: DataFrame, *order: str, keep: tuple[str, ...] = (), store: DataFrame | None = None) -> DataFrame:
+    """For each hash that the store lacks the order columns of its first chunk, and the columns `keep`. A partial
+    aggregation, so that a hash that a third of all files share sends a row for each task."""
+    first = chunks.groupBy("hash64").agg(F.min(F.struct(*order, *keep)).alias("__first"))
+    if store is not None:
+        first = first.join(store.select("hash64").distinct(), "hash64", "left_anti")
+    return first.select("__first.*")
+
+
 def first_seen(chunks: DataFrame, *order: str, store: DataFrame | None = None) -> DataFrame:
     """Chunks with is_new: whether the hash comes first here in ingest order and is not in the store.
 
-    The first place of a hash is a partial aggregation; it is joined back by place (the order columns, which
-    name a chunk), not by hash, so that a hash that a third of all files share is no task's burden.
+    First places are joined back by place (the order columns, which name a chunk), not by hash.
     """
-    first = chunks.groupBy("hash64").agg(F.min(F.struct(*order)).alias("__first"))
-    if store is not None:
-        first = first.join(store.select("hash64").distinct(), "hash64", "left_anti")
-    marks = first.select(*[F.col("__first")[c].alias(c) for c in order], F.lit(True).alias("is_new"))
+    marks = first_places(chunks, *order, store=store).withColumn("is_new", F.lit(True))
     return chunks.join(marks, list(order), "left").withColumn("is_new", F.coalesce("is_new", F.lit(False)))
 
 
+def new_and_known(chunks: DataFrame, group: str, store: DataFrame | None = None) -> DataFrame:
+    """For each value of `group`: chunks, those that are new in order of blob_id, bytes, and bytes of the new ones.
+
+    Totals and first places are added up apart, so that chunks meet by hash only and never by place. chunks is
+    read twice: a written table."""
+    others = [c for c in ("length", group) if c != "blob_id"]
+    new = first_places(chunks, "blob_id", "chunk_ix", keep=tuple(others), store=store).groupBy(group).agg(F.count("*").alias("n_new"), F.sum("length").alias("stored_bytes"))
+    total = chunks.groupBy(group).agg(F.count("*").alias("n_chunks"), F.sum("length").alias("bytes"))
+    joined = total.withColumnRenamed(group, "__group").join(new, F.col("__group").eqNullSafe(F.col(group)), "left")
+    return joined.select(F.col("__group").alias(group), "n_chunks", "bytes", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_new", "stored_bytes")])
+
+
 def ingested(chunks: DataFrame, store: DataFrame | None = None) -> DataFrame:
     """A row for each blob, as ingested in order of blob_id into a store of hashes: chunks, new ones, bytes stored and saved."""
-    marked = first_seen(chunks, "blob_id", "chunk_ix", store=store)
-    return marked.groupBy("blob_id").agg(
-        F.count("*").alias("n_chunks"), F.sum(F.col("is_new").cast("long")).alias("n_new"), F.sum(F.when(F.col("is_new"), F.col("length")).otherwise(0)).alias("stored_bytes"),
-        F.sum(F.when(F.col("is_new"), 0).otherwise(F.col("length"))).alias("saved_bytes"))
+    return new_and_known(chunks, "blob_id", store).select("blob_id", "n_chunks", "n_new", "stored_bytes", (F.col("bytes") - F.col("stored_bytes")).alias("saved_bytes"))
 
 
 def shared(chunks: DataFrame, key: str = "hash64") -> DataFrame:
@@ -104,8 +121,9 @@ def grouped(files: DataFrame, bits: int = 12, materialise=lambda df: df, rounds:
     """
     sized = files.select("blob_id", F.length("content").cast("long").alias("size"))
     parts = chunked(files.where(F.length("content") >= MIN_FILE).select("blob_id", "content"), bits, weak=True)
-    places = parts.groupBy("hash32").agg(F.min(F.struct("blob_id", "chunk_ix")).alias("place"), F.count_distinct("blob_id").alias("n")).where("n >= 2").drop("n")
-    free = materialise(parts.select("hash32", "blob_id").distinct().join(places, "hash32"))
+    parts = materialise(parts.groupBy("hash32", "blob_id").agg(F.min("chunk_ix").alias("chunk_ix")))
+    places = parts.groupBy("hash32").agg(F.min(F.struct("blob_id", "chunk_ix")).alias("place"), F.count("*").alias("n")).where("n >= 2").drop("n")
+    free = materialise(parts.drop("chunk_ix").join(places, "hash32"))
     done, ran = None, 0
     while True:
         live = free.groupBy("hash32").agg(F.count("*").alias("n")).where("n >= 2").drop("n")
@@ -135,8 +153,13 @@ def masters(assigned: DataFrame, files: DataFrame) -> DataFrame:
     from ..functions.arrays import fnv32
 
     stats = assigned.groupBy("place").agg(F.sum("size").alias("ref_len"), F.count("*").alias("ref_ctr"), F.max_by("blob_id", F.struct("size", -F.col("blob_id"))).alias("largest"))
-    order = Window.orderBy(F.col("place").asc_nulls_last())  # one row for each group, not for each file
-    numbered = stats.withColumn("master", F.row_number().over(order) + 1)
+    stats = written(stats.withColumn("part", F.coalesce(F.col("place.blob_id"), F.lit(2**63 - 1))))
+    # Numbers by ranges: each range numbers its own groups, and a row for each range is summed up.
+    bounds = sorted(set(stats.agg(F.percentile_approx("part", [i / 64 for i in range(1, 64)], 1000)).first()[0] or []))
+    stats = stats.withColumn("part", sum(((F.col("part") >= b).cast("int") for b in bounds), F.lit(0)))
+    above = stats.groupBy("part").agg(F.count("*").alias("n")).withColumn("above", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = F.row_number().over(Window.partitionBy("part").orderBy(F.col("place").asc_nulls_last()))
+    numbered = stats.withColumn("own", own).join(F.broadcast(above.select("part", "above")), "part").withColumn("master", (F.col("own") + F.col("above") + 1).cast("int"))
     heads = files.select(F.col("blob_id").alias("largest"), F.substring("content", 1, MAX_MASTER).alias("head"))
     return numbered.join(heads, "largest").select("master", "largest", "ref_len", "ref_ctr", F.length("head").cast("long").alias("head_size"), fnv32("head").alias("key"))
 
@@ -145,22 +168,35 @@ def fingerprints(df: DataFrame) -> DataFrame:
     return df.select("blob_id", simhash64("content").alias("fp"))
 
 
-def near_pairs(fps: DataFrame, within: int = 6, key: str = "blob_id") -> DataFrame:
-    """Pairs of fingerprint classes at most `within` bits apart: bands by the pigeonhole rule, verified in the join.
+def near_pairs(fps: DataFrame, within: int = 6, key: str = "blob_id", spare: int = 2) -> DataFrame:
+    """Pairs of fingerprint classes at most `within` bits apart: of within + spare parts of the 64 bits at least `spare`
+    agree, so each choice of `spare` parts is a key; verified in the join.
 
-    fps: fp and id. Equal fingerprints are one class (named by its least id) before bands are made."""
+    fps: fp and id. Equal fingerprints are one class (named by its least id) before keys are made."""
     classes = fps.groupBy("fp").agg(F.min(key).alias("rep"))
-    bands = within + 1
-    edges = [64 * i // bands for i in range(bands + 1)]
-    part = lambda i: F.shiftrightunsigned("fp", edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1))
-    keyed = classes.select("rep", "fp", F.posexplode(F.array(*[part(i) for i in range(bands)])).alias("band", "bits"))
-    a, b = keyed, keyed.select("band", "bits", F.col("rep").alias("rep_b"), F.col("fp").alias("fp_b"))
+    parts = within + spare
+    edges = [64 * i // parts for i in range(parts + 1)]
+    masks = [(1 << edges[i + 1]) - (1 << edges[i]) for i in range(parts)]
+    chosen = [sum(m) for m in combinations(masks, spare)]
+    signed = lambda m: F.lit(m - (1 << 64) if m >> 63 else m)
+    keyed = classes.select("rep", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(signed(m)) for m in chosen])).alias("choice", "bits"))
+    a, b = keyed, keyed.select("choice", "bits", F.col("rep").alias("rep_b"), F.col("fp").alias("fp_b"))
     x = F.col("fp").bitwiseXOR(F.col("fp_b"))
-    first = F.coalesce(*[F.when(F.shiftrightunsigned(x, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1)) == 0, F.lit(i)) for i in range(bands)])
-    joined = a.join(b, ["band", "bits"]).where((F.col("rep") < F.col("rep_b")) & (F.bit_count(x) <= within) & (F.col("band") == first))
+    first = F.coalesce(*[F.when(x.bitwiseAND(signed(m)) == 0, F.lit(i)) for i, m in enumerate(chosen)])
+    joined = a.join(b, ["choice", "bits"]).where((F.col("rep") < F.col("rep_b")) & (F.bit_count(x) <= within) & (F.col("choice") == first))
     return joined.select(F.col("rep").alias("a"), F.col("rep_b").alias("b"), F.bit_count(x).cast("long").alias("distance"))
 
 
+def near_classes(fps: DataFrame, within: int = 6, key: str = "blob_id") -> DataFrame:
+    """A row for each class of equal fingerprints: its least id, its rows, the number of other classes at most `within`
+    bits apart and the least distance (null without one). Links are counted where they are found, not gathered."""
+    fps = written(fps)
+    classes = fps.groupBy("fp").agg(F.min(key).alias("rep"), F.count("*").alias("n_rows"))
+    ends = near_pairs(fps, within, key).select(F.explode(F.array("a", "b")).alias("rep"), "distance")
+    linked = ends.groupBy("rep").agg(F.count("*").alias("n_links"), F.min("distance").alias("nearest"))
+    return classes.select("rep", "n_rows").join(linked, "rep", "left").select("rep", "n_rows", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "nearest")
+
+
 def root_order(df: DataFrame) -> DataFrame:
     """Ordered chunk lists from a table of chunks: the root by an ordered aggregate, for lists that are stored as rows."""
     ordered = df.groupBy("blob_id").agg(F.array_sort(F.collect_list(F.struct("chunk_ix", "hash64"))).alias("l"))
@@ -168,6 +204,6 @@ def root_order(df: DataFrame) -> DataFrame:
 
 
 def exact_duplicates(df: DataFrame) -> DataFrame:
-    """Groups of equal content by hash and length."""
-    keyed = df.select("blob_id", F.length("content").cast("long").alias("size"), fnv64("content").alias("h"))
-    return keyed.groupBy("h", "size").agg(F.count("*").alias("n"), F.min("blob_id").alias("first_blob")).where("n > 1")
+    """Groups of equal content, by length and SHA-256; named by their 64-bit hash."""
+    keyed = df.select("blob_id", F.length("content").cast("long").alias("size"), F.sha2("content", 256).alias("digest"), fnv64("content").alias("h"))
+    return keyed.groupBy("digest", "size").agg(F.min("h").alias("h"), F.count("*").alias("n"), F.min("blob_id").alias("first_blob")).where("n > 1")

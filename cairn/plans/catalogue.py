@@ -11,6 +11,7 @@ from ..functions.kernels import gear_table
 from ..operators import catalog as C
 from ..operators import dedup as D
 from ..operators import transforms as X
+from ..operators.lineage import written
 
 BITS = 8
 
@@ -27,6 +28,11 @@ def chunks(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
     return D.chunked(documents(spark, sf_dir, *keep), BITS)
 
 
+def chunk_table(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    """Chunks as a written table, for plans that read them more than once: the content is cut and hashed once."""
+    return written(chunks(spark, sf_dir, *keep).select("blob_id", "chunk_ix", "hash64", "length", *keep))
+
+
 # ---- checksums and hashes
 
 def checksum_documents(spark, d):
@@ -162,23 +168,23 @@ def merkle_root(spark, d):
 
 def merkle_similarity(spark, d):
     """Each document against the next one by id."""
-    c = chunks(spark, d)
+    c = chunk_table(spark, d)
     a = c.select(F.col("blob_id").alias("pair"), "hash64", "length")
     b = c.select((F.col("blob_id") - 1).alias("pair"), "hash64")
     return D.common_chunks(a, b, "blob_id", "blob_id", "pair").select(F.col("pair").alias("doc_id"), "n_chunks", "n_common", "common_bytes", F.round("similarity", 9).alias("similarity"))
 
 
 def blockstore_ingest(spark, d):
-    return D.ingested(chunks(spark, d)).withColumnRenamed("blob_id", "doc_id")
+    return D.ingested(chunk_table(spark, d)).withColumnRenamed("blob_id", "doc_id")
 
 
 def blockstore_totals(spark, d):
-    return D.ingested(chunks(spark, d)).agg(F.sum("n_chunks").alias("n_chunks"), F.sum("n_new").alias("n_blocks"), F.sum("stored_bytes").alias("total_bytes"), F.sum("saved_bytes").alias("saved_bytes"))
+    return D.ingested(chunk_table(spark, d)).agg(F.sum("n_chunks").alias("n_chunks"), F.sum("n_new").alias("n_blocks"), F.sum("stored_bytes").alias("total_bytes"), F.sum("saved_bytes").alias("saved_bytes"))
 
 
 def store_delta(spark, d):
     """Documents ingested into a store that holds the chunks of all even ones."""
-    c = chunks(spark, d)
+    c = chunk_table(spark, d)
     return D.ingested(c.where(F.col("blob_id") % 2 == 1), c.where(F.col("blob_id") % 2 == 0)).withColumnRenamed("blob_id", "doc_id")
 
 
@@ -196,11 +202,9 @@ def source_overlap(spark, d):
 
 def dedup_by_source(spark, d):
     """Flagship: chunks, unique chunks, bytes and saved bytes of each source."""
-    seen = D.first_seen(chunks(spark, d, "source"), "blob_id", "chunk_ix")
-    new = F.col("is_new")
-    return seen.groupBy("source").agg(
-        F.count("*").alias("chunks"), F.sum(new.cast("long")).alias("unique_chunks"), F.sum("length").alias("total_bytes"), F.sum(F.when(new, 0).otherwise(F.col("length"))).alias("saved_bytes"),
-    ).withColumn("dedup_ratio", F.round(F.col("saved_bytes") / F.col("total_bytes"), 6))
+    found = D.new_and_known(chunk_table(spark, d, "source"), "source")
+    saved = F.col("bytes") - F.col("stored_bytes")
+    return found.select("source", F.col("n_chunks").alias("chunks"), F.col("n_new").alias("unique_chunks"), F.col("bytes").alias("total_bytes"), saved.alias("saved_bytes"), F.round(saved / F.col("bytes"), 6).alias("dedup_ratio"))
 
 
 def simhash_benchmark(spark, d):
@@ -211,23 +215,14 @@ def simhash_documents(spark, d):
     return D.fingerprints(documents(spark, d)).select(F.col("blob_id").alias("doc_id"), hex64(F.col("fp")).alias("fp"))
 
 
-def near_dup_pairs(spark, d):
-    """Pairs of fingerprint classes of documents within 6 bits, the least that the reference names for text (each named by its least id)."""
-    return D.near_pairs(D.fingerprints(documents(spark, d)), 6)
+def near_dup_classes(spark, d):
+    """Classes of equal fingerprints of documents, each with the number of classes within 6 bits and the least distance."""
+    return D.near_classes(D.fingerprints(documents(spark, d)), 6).withColumnRenamed("rep", "doc_id")
 
 
 def master_grouping(spark, d):
-    assigned = D.grouped(documents(spark, d), BITS, _materialised(spark))
-    return D.masters(_materialised(spark)(assigned), documents(spark, d))
-
-
-def _materialised(spark):
-    """Cuts lineage by checkpoint() in the folder that the session names, or else in one of its own."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="cairn-"))
-    return lambda df: df.checkpoint()
+    assigned = D.grouped(documents(spark, d), BITS, written)
+    return D.masters(written(assigned), documents(spark, d))
 
 
 # ---- catalogs
@@ -255,6 +250,32 @@ def glob_select(spark, d):
     return C.select_paths(catalog_listing(spark, d), "src1?/[!e]*").select("path", "version", "doc_id")
 
 
+def named_versions(spark, d):
+    """Names with a version (name;N), with all versions (name;*), and the newest where none is said."""
+    return C.select_named(catalog_listing(spark, d), ["src1/*;1", "src2/e*;*", "src[3-5]/de"]).select("path", "version", "doc_id")
+
+
+def archive_totals(spark, d):
+    """All in all: directories, names, revisions, bytes of all and of the newest, and the oldest version's number."""
+    e = catalog_listing(spark, d)
+    return e.agg(
+        F.count_distinct(F.substring_index("path", "/", 1)).alias("dirs"), F.count_distinct("path").alias("files"), F.count("*").alias("revisions"), F.sum("size").alias("bytes"),
+        F.sum(F.when(F.col("version") == 0, F.col("size"))).alias("newest_bytes"), F.max("version").alias("max_version"))
+
+
+def walk_order(spark, d):
+    """Pages' paths and the directories above them: each one's place in its directory, files before directories."""
+    path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
+    files = table(spark, d, "pages").select(path.alias("path")).distinct()
+    both = files.select("path", F.lit(False).alias("is_dir")).union(C.with_ancestors(files).select("dir", F.lit(True)))
+    parent, *order = C.walk_order(both)
+    return both.withColumn("place", F.row_number().over(Window.partitionBy(parent).orderBy(*order)).cast("long"))
+
+
+def error_names(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", C.named((-(F.col("o_orderkey") % 9)).cast("int"), C.ERRORS, "Error").alias("message"))
+
+
 def subtree_select(spark, d):
     return C.select_paths(catalog_listing(spark, d), "src[2-4]/").groupBy("path").agg(F.count("*").alias("n"))
 
@@ -274,8 +295,7 @@ def dir_paths(spark, d):
 def master_chain(spark, d):
     """Parts as dictionaries, each made with another one (or none): depth of the chain, and circles."""
     parts = table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 7 == 0, F.lit(None)).when(F.col("p_partkey") % 97 == 5, F.col("p_partkey")).otherwise(F.expr("p_partkey div 2")).alias("master"))
-    parts.createOrReplaceTempView("cairn_masters")
-    return spark.sql(C.chain_sql("cairn_masters", "p_partkey")).select("p_partkey", F.col("depth").cast("long").alias("depth"), "cyclic")
+    return C.chains(parts, "p_partkey")
 
 
 def running_offsets(spark, d):
@@ -314,8 +334,7 @@ def dir_tree(spark, d):
     """Paths of regions and nations as a tree, top down."""
     r = table(spark, d, "region").select((F.col("r_regionkey") + 1000).alias("id"), F.lit(0).alias("parent"), F.col("r_name").alias("name"))
     n = table(spark, d, "nation").select((F.col("n_nationkey") + 1).alias("id"), (F.col("n_regionkey") + 1000).alias("parent"), F.col("n_name").alias("name"))
-    r.union(n).createOrReplaceTempView("cairn_dirs")
-    return spark.sql(C.full_paths_sql("cairn_dirs")).select(F.col("id").cast("long").alias("id"), "path", F.col("depth").cast("long").alias("depth"))
+    return C.full_paths(r.union(n).select(F.col("id").cast("long").alias("id"), F.col("parent").cast("long").alias("parent"), "name"))
 
 
 def listing_lines(spark, d):
@@ -380,6 +399,22 @@ f AS MATERIALIZED (SELECT *, min((doc_id, chunk_ix)) OVER (PARTITION BY body) =
 """
 
 
+def _simhash_sql() -> str:
+    """Fingerprints of documents: votes of distinct 4-byte shingles by how often they occur, a sum for each bit."""
+    h = "14695981039346656037::HUGEINT"
+    for v in ("v", "v1", "v2", "v3"):
+        h = f"((xor({h}, {v}::HUGEINT) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)"
+    bits = " + ".join(f"(CASE WHEN 2 * sum(n) FILTER ((h >> {k}) & 1 = 1) > sum(n) THEN {1 << k}::HUGEINT ELSE 0 END)" for k in range(64))
+    return f"""
+a AS (SELECT doc_id, {BYTES} AS bs, {HUGE} AS hs FROM {TEXT}),
+b AS (SELECT doc_id, generate_subscripts(bs, 1) AS pos, unnest(bs) AS v FROM a),
+s AS (SELECT doc_id, v, lead(v, 1) OVER w AS v1, lead(v, 2) OVER w AS v2, lead(v, 3) OVER w AS v3 FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+d AS MATERIALIZED (SELECT doc_id, v, v1, v2, v3, count(*) AS n FROM s WHERE v3 IS NOT NULL GROUP BY ALL),
+x AS (SELECT doc_id, {h}::UBIGINT AS h, n FROM d),
+fp AS MATERIALIZED (SELECT doc_id, ({bits})::HUGEINT AS fp FROM x GROUP BY doc_id UNION ALL SELECT doc_id, {FNV64.format(bytes='hs')}::HUGEINT FROM a WHERE len(bs) < 4)"""
+
+
+SIMHASH = _simhash_sql()
 CDC = _cdc()
 BODY = "list_transform(regexp_extract_all(body, '..'), lambda x: ('0x' || x)::INT::HUGEINT)"
 BODY_HASH = HEX.format(FNV64.format(bytes=BODY))
@@ -472,6 +507,19 @@ s AS (SELECT item_id, {FNV64.format(bytes='bs[i:i + 3]')}::UBIGINT AS h FROM (SE
 v AS (SELECT item_id, k, sum(CASE WHEN (h >> k) & 1 = 1 THEN 1 ELSE -1 END) AS votes FROM s, (SELECT unnest(range(64))::UBIGINT AS k) GROUP BY ALL),
 x AS (SELECT item_id, sum(CASE WHEN votes > 0 THEN (2::HUGEINT ** k)::HUGEINT ELSE 0 END) AS fp FROM v GROUP BY item_id)
 SELECT item_id, {HEX.format('fp')} AS fp FROM x UNION ALL SELECT item_id, {HEX.format(FNV64.format(bytes='bs'))} FROM a WHERE len(bs) < 4""",
+    "simhash_documents": f"WITH {SIMHASH} SELECT doc_id, {HEX.format('fp')} AS fp FROM fp",
+    "near_dup_classes": f"""WITH {SIMHASH},
+c AS MATERIALIZED (SELECT fp, min(doc_id) AS doc_id, count(*) AS n_rows FROM fp GROUP BY fp),
+l AS (SELECT p.doc_id, count(*) AS n_links, min(bit_count(xor(p.fp, q.fp)))::BIGINT AS nearest FROM c p JOIN c q ON p.fp <> q.fp AND bit_count(xor(p.fp, q.fp)) <= 6 GROUP BY p.doc_id)
+SELECT doc_id, n_rows, coalesce(n_links, 0) AS n_links, nearest FROM c LEFT JOIN l USING (doc_id)""",
+    "walk_order": f"""
+WITH p AS (SELECT DISTINCT regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS path FROM pages),
+u AS (SELECT DISTINCT array_to_string(parts[1:i], '/') AS path FROM (SELECT string_split(path, '/') AS parts, unnest(range(1, len(string_split(path, '/')))) AS i FROM p)),
+e AS (SELECT path, false AS is_dir FROM p UNION ALL SELECT path, true FROM u)
+SELECT path, is_dir, row_number() OVER (PARTITION BY CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END ORDER BY is_dir, path) AS place FROM e""",
+    "named_versions": f"""SELECT path, version, doc_id FROM {LISTING} WHERE regexp_matches(path, '^src1/[^/]*$') AND version = 1 OR regexp_matches(path, '^src2/e[^/]*$') OR regexp_matches(path, '^src[3-5]/de$') AND version = 0""",
+    "archive_totals": f"""SELECT count(DISTINCT split_part(path, '/', 1)) AS dirs, count(DISTINCT path) AS files, count(*) AS revisions, sum(size)::BIGINT AS bytes, (sum(size) FILTER (version = 0))::BIGINT AS newest_bytes, max(version) AS max_version FROM {LISTING}""",
+    "error_names": """SELECT o_orderkey, CASE o_orderkey % 9 WHEN 2 THEN 'Callback fault' WHEN 3 THEN 'Bad state' WHEN 4 THEN 'Damaged archive' WHEN 5 THEN 'Truncated' WHEN 6 THEN 'Unimplemented' WHEN 7 THEN 'Internal error' ELSE 'Error' END AS message FROM orders""",
     "catalog_listing": f"SELECT * FROM {LISTING}",
     "latest_versions": f"SELECT * FROM {LISTING} WHERE version = 0",
     "listing_totals": """
@@ -526,7 +574,7 @@ SELECT dir, doc_id, least(quota, 4096 - before) AS taken FROM w WHERE before < 4
 QUERIES = {f.__name__: f for f in (
     checksum_documents, fnv32_documents, fnv64_documents, exact_dup_groups, content_type, magic_identify, byte_histogram, entropy_by_lang, rans_freq_table, small_literal_csize,
     delta_filter_bytes, dos_time_roundtrip, dos_names, bwt_short, parity_sectors, parity_repair, cdc_chunks, chunk_hashes, merkle_root, merkle_similarity, blockstore_ingest,
-    blockstore_totals, store_delta, shared_chunk_files, source_overlap, dedup_by_source, simhash_benchmark, simhash_documents, near_dup_pairs, master_grouping, catalog_listing,
-    latest_versions, listing_totals, glob_select, subtree_select, as_of_version, dir_paths, master_chain, running_offsets, contains_text,
+    blockstore_totals, store_delta, shared_chunk_files, source_overlap, dedup_by_source, simhash_benchmark, simhash_documents, near_dup_classes, master_grouping, catalog_listing,
+    latest_versions, listing_totals, glob_select, named_versions, archive_totals, walk_order, error_names, subtree_select, as_of_version, dir_paths, master_chain, running_offsets, contains_text,
     chunk_candidates, candidates_documents, parent_join, dir_tree, listing_lines, freshened, signatures, quota_heads,
 )}

@@ -37,10 +37,49 @@ def test_small_functions(spark):
     assert tuple(r) == ("ad---r", "Damaged archive", "Tight", "ab/abcdef0123456789", "Aüß", "C#", "A#B")
 
 
+def plain_chain(above, start):
+    seen, at = [start], above[start]
+    while at in above and at not in seen:
+        seen.append(at)
+        at = above[at]
+    return (len(seen), True) if at in above else (len(seen) - 1, False)
+
+
 def test_chains_and_circles(spark):
-    spark.createDataFrame([(2, 1), (3, 2), (4, 5), (5, 4), (6, None)], "id long, master long").createOrReplaceTempView("t_masters")
-    got = {r.id: (r.depth, r.cyclic) for r in spark.sql(C.chain_sql("t_masters")).collect()}
-    assert got[3] == (1, False) and got[2] == (0, False) and got[6] == (0, False) and got[4][1] and got[5][1]
+    rows = [(2, 1), (3, 2), (4, 5), (5, 4), (6, None), (7, 7), (8, 7), (9, 8), (10, 4), (11, 10)] + [(100 + i, 100 + (i + 1) % 13) for i in range(13)] + [(200 + i, 199 + i if i else 103) for i in range(30)]
+    above = dict(rows)
+    got = {r.id: (r.depth, r.cyclic) for r in C.chains(spark.createDataFrame(rows, "id long, master long")).collect()}
+    assert got == {i: plain_chain(above, i) for i in above}
+    assert C.chains(spark.createDataFrame([], "id long, master long")).count() == 0
+
+
+def test_chains_of_any_depth_and_number(spark):
+    deep = spark.range(5000).selectExpr("id", "case when id > 0 then id - 1 end as master")
+    assert C.chains(deep).where("depth = id and not cyclic").count() == 5000
+    many = spark.range(1, 2_000_001).selectExpr("id", "id div 2 as master")
+    got = C.chains(many).selectExpr("count(*) n", "max(depth) d", "sum(depth) s", "bool_or(cyclic) c").first()
+    assert tuple(got) == (2_000_000, 20, sum(k.bit_length() - 1 for k in range(1, 2_000_001)), False)
+
+
+def test_paths_of_trees(spark):
+    rows = [(1, 0, "a"), (2, 1, "b"), (3, 2, "c"), (4, 0, "d"), (5, 99, "lost"), (6, 5, "below"), (7, 8, "x"), (8, 7, "y")] + [(100 + i, 99 + i if i else 4, f"n{i}") for i in range(40)]
+    got = {r.id: (r.path, r.depth) for r in C.full_paths(spark.createDataFrame(rows, "id long, parent long, name string")).collect()}
+    by, want = {i: (p, n) for i, p, n in rows}, {}
+    for i in by:
+        names, at = [], i
+        while at in by and len(names) < 99:
+            names.append(by[at][1])
+            at = by[at][0]
+        if at == 0:
+            want[i] = "/".join(reversed(names)), len(names)
+    assert got == want and 5 not in got and 7 not in got
+
+
+def test_selection_by_names_with_versions(spark):
+    df = spark.createDataFrame([("a/x", 0), ("a/x", 1), ("a/y", 0), ("b/x;1", 0), ("b/x", 1)], "path string, version int")
+    take = lambda *names: sorted(tuple(r) for r in C.select_named(df, list(names)).collect())
+    assert take("a/*") == [("a/x", 0), ("a/y", 0)] and take("a/x;1") == [("a/x", 1)] and take("a/*;*") == [("a/x", 0), ("a/x", 1), ("a/y", 0)]
+    assert take("*/x;1", "a/y") == [("a/x", 1), ("a/y", 0), ("b/x", 1)] and take("b/x;1;0") == [("b/x;1", 0)] and take() == []
 
 
 def test_lost_entries_go_to_the_root(spark):
