@@ -14,7 +14,7 @@ from itertools import groupby
 
 import numpy as np
 
-from .kernels import FNV32, FNV64
+from .kernels import FNV32, FNV64, delta, undelta
 
 
 class Damaged(ValueError):
@@ -340,6 +340,7 @@ DEFAULT_RUNS = (
 DEFAULT = [v for n, v in DEFAULT_RUNS for _ in range(n)]
 REPEAT, RUN = 14, 6
 METHOD_RANS = 10
+TURBO = 80
 
 
 @cache
@@ -499,8 +500,28 @@ def compress(data: bytes, level: int = 4, prefix: bytes = b"", matches: bool = T
     return out.bytes()
 
 
-def decompress(data: bytes, size: int | None, method: int = 4, prefix: bytes = b"") -> bytes:
-    """The first `size` bytes (None: all) of a stream of method 1 to 9 (Huffman) or 10 (rANS)."""
+def stride_of(method: int) -> int:
+    """The delta stride of a method, 0 for none; 39 and 49 would need more than the eight bytes that are kept."""
+    stride = 1 if method in range(21, 30) else (method - 30) % 10 + 1 if method in range(30, 50) else 0
+    if stride > 8:
+        raise Damaged(f"method {method}")
+    return stride
+
+
+def compress_delta(data: bytes, stride: int, level: int = 4, prefix: bytes = b"") -> tuple[int, bytes, bytes]:
+    """The method's number, the stream, and the filtered bytes in it, which its checksum covers. The dictionary is filtered too."""
+    filtered = delta(data, stride)
+    return 29 + stride, compress(filtered, level, delta(prefix, stride)), filtered
+
+
+def decompress(data: bytes, size: int | None, method: int = 4, prefix: bytes = b"", filtered: bool = False) -> bytes:
+    """The first `size` bytes (None: all) of a stream of method 1 to 9 (Huffman) or 10 (rANS), or of 21 to 49 (Huffman of
+    bytes less those a stride before; filtered: these differences themselves)."""
+    if stride := stride_of(method):
+        got = decompress(data, size, 4, delta(prefix, stride))
+        return got if filtered else undelta(got, stride)
+    if method == TURBO:
+        raise Damaged("Turbo streams are not read")
     if method != METHOD_RANS and method not in range(1, 10):
         raise Damaged(f"method {method}")
     bits, out, before, split = BitReader(data), bytearray(prefix), list(DEFAULT), NBYTE + NDIST

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from functools import cache
 
 import numpy as np
@@ -67,6 +68,42 @@ def checksum(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     return out
 
 
+class Delta:
+    """Each byte less the one a stride before it, over pieces of a stream: the last bytes are kept between calls, at first zeros."""
+
+    def __init__(self, stride: int):
+        self.stride, self.tail = stride, np.zeros(stride, np.uint8)
+
+    def apply(self, piece: bytes) -> bytes:
+        v = np.concatenate([self.tail, np.frombuffer(piece, np.uint8)])
+        self.tail = v[len(v) - self.stride :]
+        return (v[self.stride :] - v[: len(v) - self.stride]).tobytes()
+
+    def revert(self, piece: bytes) -> bytes:
+        v = np.concatenate([self.tail, np.frombuffer(piece, np.uint8)])
+        for phase in range(self.stride):
+            v[phase :: self.stride] = np.cumsum(v[phase :: self.stride], dtype=np.uint8)
+        self.tail = v[len(v) - self.stride :]
+        return v[self.stride :].tobytes()
+
+
+def delta(data: bytes, stride: int) -> bytes:
+    """Each byte less the one a stride before it; the first ones as they are."""
+    return Delta(stride).apply(data)
+
+
+def undelta(data: bytes, stride: int) -> bytes:
+    return Delta(stride).revert(data)
+
+
+def read_gear(text: str) -> np.ndarray:
+    """A gear table from any text with 256 numbers, decimal or as 0x..., to make the cuts of another system's stores."""
+    found = [int(x, 0) for x in re.findall(r"0[xX][0-9A-Fa-f]+|[0-9]+", text)]
+    if len(found) != 256 or max(found) >= 1 << 32:
+        raise ValueError("a gear table has 256 numbers of 32 bits")
+    return np.array(found, np.uint32)
+
+
 def candidates(data: np.ndarray, bits: int, gear: np.ndarray) -> np.ndarray:
     """Places where the gear hash's low `bits` bits are zero; they depend on the last `bits` bytes alone."""
     g = gear[data].astype(np.uint64)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arrays import byte_values, flat
+from ..functions.kernels import delta, undelta  # noqa: F401
 
 SCALE = 4096
 SECTOR = 512
@@ -29,21 +30,6 @@ def mapped(function: Callable[[bytes], bytes]):
     return run
 
 
-def delta(data: bytes, stride: int) -> bytes:
-    """Each byte less the one a stride before it; the first ones as they are."""
-    v = np.frombuffer(data, np.uint8)
-    out = v.copy()
-    out[stride:] = v[stride:] - v[:-stride]
-    return out.tobytes()
-
-
-def undelta(data: bytes, stride: int) -> bytes:
-    v = np.frombuffer(data, np.uint8).copy()
-    for phase in range(min(stride, len(v))):
-        v[phase::stride] = np.cumsum(v[phase::stride], dtype=np.uint8)
-    return v.tobytes()
-
-
 def bcj(data: bytes, back: bool = False) -> bytes:
     """x86 calls and jumps: the 32-bit displacement after E8 or E9 becomes a target address, or is made one again."""
     out, i = bytearray(data), 0

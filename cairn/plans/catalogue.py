@@ -100,6 +100,11 @@ def delta_filter_bytes(spark, d):
     return back.groupBy("blob_id").agg(F.sum("d").alias("sum_delta"), F.sum((F.col("pos") + 1) * F.col("d")).alias("weighted"), F.min((F.col("v") == F.col("was")).cast("int")).alias("inverse_ok"))
 
 
+def delta_checksums(spark, d):
+    """The checksum of each document's bytes less those four before, as a stream of that method stores it."""
+    return documents(spark, d).select(F.col("blob_id").alias("doc_id"), checksum(X.mapped(lambda v: X.delta(v, 4))("content")).alias("csum"))
+
+
 def dos_time_roundtrip(spark, d):
     o = table(spark, d, "events").select("event_id", "ts")
     packed = o.select("event_id", C.dos_time(F.col("ts")).alias("dos_time"))
@@ -463,6 +468,11 @@ FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations) WHERE
 WITH b AS (SELECT p_partkey AS blob_id, generate_subscripts({BYTES}, 1) - 1 AS pos, unnest({BYTES}) AS v FROM (SELECT p_partkey, p_name AS text FROM part)),
 q AS (SELECT blob_id, pos, coalesce((v - lag(v, 2) OVER (PARTITION BY blob_id ORDER BY pos) + 256) % 256, v) AS d FROM b)
 SELECT blob_id, sum(d)::BIGINT AS sum_delta, sum((pos + 1) * d)::BIGINT AS weighted, 1::INT AS inverse_ok FROM q GROUP BY blob_id""",
+    "delta_checksums": f"""
+WITH b AS (SELECT doc_id, generate_subscripts({BYTES}, 1) - 1 AS pos, unnest({BYTES}) AS v FROM {TEXT}),
+q AS (SELECT doc_id, pos, coalesce((v - lag(v, 4) OVER (PARTITION BY doc_id ORDER BY pos) + 256) % 256, v) AS d FROM b),
+x AS (SELECT doc_id, bit_xor((d << (8 * (pos % 2))::INT)::BIGINT) AS x FROM q GROUP BY doc_id)
+SELECT t.doc_id, xor(42330::BIGINT, coalesce(x, 0)) AS csum FROM {TEXT} t LEFT JOIN x USING (doc_id)""",
     "dos_time_roundtrip": """
 SELECT event_id, ((year(ts) - 1980) * 33554432 + month(ts) * 2097152 + day(ts) * 65536 + hour(ts) * 2048 + minute(ts) * 32 + second(ts) // 2)::BIGINT AS dos_time,
   strftime(date_trunc('minute', ts) + to_seconds(second(ts) // 2 * 2), '%Y-%m-%d %H:%M:%S') AS back FROM events""",
@@ -573,7 +583,7 @@ SELECT dir, doc_id, least(quota, 4096 - before) AS taken FROM w WHERE before < 4
 
 QUERIES = {f.__name__: f for f in (
     checksum_documents, fnv32_documents, fnv64_documents, exact_dup_groups, content_type, magic_identify, byte_histogram, entropy_by_lang, rans_freq_table, small_literal_csize,
-    delta_filter_bytes, dos_time_roundtrip, dos_names, bwt_short, parity_sectors, parity_repair, cdc_chunks, chunk_hashes, merkle_root, merkle_similarity, blockstore_ingest,
+    delta_filter_bytes, delta_checksums, dos_time_roundtrip, dos_names, bwt_short, parity_sectors, parity_repair, cdc_chunks, chunk_hashes, merkle_root, merkle_similarity, blockstore_ingest,
     blockstore_totals, store_delta, shared_chunk_files, source_overlap, dedup_by_source, simhash_benchmark, simhash_documents, near_dup_classes, master_grouping, catalog_listing,
     latest_versions, listing_totals, glob_select, named_versions, archive_totals, walk_order, error_names, subtree_select, as_of_version, dir_paths, master_chain, running_offsets, contains_text,
     chunk_candidates, candidates_documents, parent_join, dir_tree, listing_lines, freshened, signatures, quota_heads,

@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import codecs
+from ..functions import codecs, kernels
 from ..functions.kernels import checksum
+from ..operators import dedup
 
 #: Fixed values of the format.
 HEAD, HEAD_SUM, NEEDS, MADE_BY, NEWEST = 0x1A324355, 0x01B2C3D4, 200, 203, 203
@@ -43,8 +44,8 @@ def dos_name(name: str) -> bytes:
     return (stem[:8].ljust(8) + ext[:3].ljust(3)).encode("ascii", "replace")[:11]
 
 
-def build(files: list[tuple[str, bytes, int]], masters: dict[int, bytes] | None = None, assigned: list[int] | None = None, level: int = 4, label: str = "") -> bytes:
-    """An archive of (path, content, dos_time) with dictionaries (index from 2 on) and each file's index (1: none)."""
+def build(files: list[tuple[str, bytes, int]], masters: dict[int, bytes] | None = None, assigned: list[int] | None = None, level: int = 4, label: str = "", strides: list[int] | None = None) -> bytes:
+    """An archive of (path, content, dos_time) with dictionaries (index from 2 on) and each file's index (1: none) and delta stride (0: none)."""
     masters, assigned = masters or {}, assigned or [NONE] * len(files)
     method = codecs.METHOD_RANS if level >= 6 else level
     data, at = bytearray(29), {}
@@ -60,10 +61,11 @@ def build(files: list[tuple[str, bytes, int]], masters: dict[int, bytes] | None
         parent, _, name = path.rpartition("/")
         at[path] = len(at) + 1
         records.append(bytes([DIR]) + OS_META.pack(at.get(parent, 0), DIR_BIT, 0, dos_name(name), 0, 1) + struct.pack("<I", at[path]) + tag(name))
-    for (path, content, time), index in zip(files, assigned):
+    for (path, content, time), index, stride in zip(files, assigned, strides or [0] * len(files)):
         parent, _, name = path.rpartition("/")
-        packed = codecs.compress(content, level, masters.get(index, NO_MASTER))
-        records.append(bytes([FILE]) + OS_META.pack(at.get(parent, 0), FILE_BIT, time, dos_name(name), 0, 1) + FILE_META.pack(len(content), csum(content)) + COMPRESS.pack(len(packed), method, index) + LOCATION.pack(1, len(data)) + tag(name))
+        prefix = masters.get(index, NO_MASTER)
+        how, packed, summed = codecs.compress_delta(content, stride, min(level, 5), prefix) if stride else (method, codecs.compress(content, level, prefix), content)
+        records.append(bytes([FILE]) + OS_META.pack(at.get(parent, 0), FILE_BIT, time, dos_name(name), 0, 1) + FILE_META.pack(len(content), csum(summed)) + COMPRESS.pack(len(packed), how, index) + LOCATION.pack(1, len(data)) + tag(name))
         data += packed
     raw = b"".join(records) + bytes([END]) + TAIL.pack(0, 0, 0, label.encode()[:11].ljust(11), 0)
     place = len(data)
@@ -151,10 +153,11 @@ def extract(archive: bytes, entry: dict, known: list[dict], above: tuple[int, ..
         if found is None or master in above:
             raise codecs.Damaged("dictionary")
         prefix = extract(archive, found, known, (*above, master))
-    data = codecs.decompress(archive[entry["offset"] : entry["offset"] + entry["csize"]], entry["size"], entry["method"], prefix)
-    if csum(data) != entry["csum"]:
+    data = codecs.decompress(archive[entry["offset"] : entry["offset"] + entry["csize"]], entry["size"], entry["method"], prefix, filtered=True)
+    if csum(data) != entry["csum"]:  # of the bytes in the stream, before a delta is undone
         raise codecs.Damaged("checksum")
-    return data
+    stride = codecs.stride_of(entry["method"])
+    return codecs.undelta(data, stride) if stride else data
 
 
 @F.arrow_udf(T.ArrayType(ENTRY))
@@ -196,14 +199,38 @@ def extract_files(archives: DataFrame) -> DataFrame:
     return archives.select("path", F.explode(extracted_list("content")).alias("e")).select("path", "e.*")
 
 
-def create(files: DataFrame, level: int = 4) -> DataFrame:
+def dictionaries(contents: list[bytes], bits: int = 12) -> tuple[dict[int, bytes], list[int]]:
+    """Dictionaries (index from 2 on) for files that share chunks, and each file's index (1: none): the greedy rule of
+    dedup.grouped, and of each group the head of its largest file, the first of equals."""
+    large = [i for i, c in enumerate(contents) if len(c) >= dedup.MIN_FILE]
+    data = np.frombuffer(b"".join(contents[i] for i in large), np.uint8)
+    ends = np.concatenate([[0], np.cumsum([len(contents[i]) for i in large])]).astype(np.int64)
+    row, at, size = kernels.chunks(data, ends, bits)
+    first: dict[int, tuple[int, int]] = {}
+    held = set()
+    for n, (r, h) in enumerate(zip(row.tolist(), kernels.fnv(data, ends[row] + at, size, 32).tolist())):
+        held.add((first.setdefault(h, (large[r], n)), large[r]))
+    found = dedup.settled(list(held))
+    number = {place: i for i, place in enumerate(sorted({p for _, p in found}), 2)}
+    assigned, heads = [NONE] * len(contents), {}
+    for i, place in sorted(found):
+        assigned[i] = n = number[place]
+        if len(contents[i]) > len(heads.get(n, b"")):
+            heads[n] = contents[i]
+    return {n: c[: dedup.MAX_MASTER] for n, c in heads.items()}, assigned
+
+
+def create(files: DataFrame, level: int = 4, grouped: bool = False, bits: int = 12) -> DataFrame:
     """One archive (path, content) for each value of column archive, from rows (archive, name, content, dos_time).
 
-    An archive is one file, made by one task: what goes into one is for the caller to bound."""
+    grouped: files that share chunks share a dictionary. An archive is one file, made by one task: what goes into one is
+    for the caller to bound."""
 
     def run(t: pa.Table) -> pa.Table:
         rows = sorted(t.to_pylist(), key=lambda r: r["name"])
-        return pa.table({"path": [rows[0]["archive"]], "content": pa.array([build([(r["name"], r["content"], r["dos_time"]) for r in rows], level=level)], pa.binary())})
+        shared = dictionaries([r["content"] for r in rows], bits) if grouped else (None, None)
+        made = build([(r["name"], r["content"], r["dos_time"]) for r in rows], *shared, level=level)
+        return pa.table({"path": [rows[0]["archive"]], "content": pa.array([made], pa.binary())})
 
     return files.groupBy("archive").applyInArrow(run, "path string, content binary")
 

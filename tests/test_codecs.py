@@ -186,3 +186,77 @@ def test_sql_functions(spark):
     assert "fnv64" in register(spark)
     r = spark.sql("SELECT fnv64(CAST('ab' AS BINARY)) AS h, lz4_unblock(lz4_block(CAST('aaaaaaaaaaaa' AS BINARY))) AS b, size(cdc_chunks(CAST('abc' AS BINARY))) AS n").first()
     assert r.h == 0x089C4407B545986A and bytes(r.b) == b"a" * 12 and r.n == 1
+
+
+def plain_delta(data, stride):
+    """With a ring of the last bytes, byte after byte."""
+    ring, out = [0] * stride, bytearray()
+    for i, b in enumerate(data):
+        out.append((b - ring[i % stride]) % 256)
+        ring[i % stride] = b
+    return bytes(out)
+
+
+@given(st.binary(max_size=300), st.integers(1, 8), st.lists(st.integers(0, 40), max_size=20))
+@settings(max_examples=60, deadline=None)
+def test_delta_streams_in_any_pieces(data, stride, sizes):
+    from cairn.functions.kernels import Delta
+
+    pieces, at = [], 0
+    for n in sizes:
+        pieces.append(data[at : at + n])
+        at += n
+    pieces.append(data[at:])
+    there, back = Delta(stride), Delta(stride)
+    coded = [there.apply(p) for p in pieces]
+    assert b"".join(coded) == plain_delta(data, stride) == K.delta(data, stride)
+    assert b"".join(back.revert(p) for p in coded) == data == K.undelta(K.delta(data, stride), stride)
+
+
+@pytest.mark.parametrize("method", [21, 25, 29, *range(30, 38), 40, 47])
+def test_delta_methods(method):
+    stride = 1 if method < 30 else (method - 30) % 10 + 1
+    for data in CASES[:8]:
+        for prefix in (bytes(512), CASES[5][:300]):
+            _, packed, filtered = K.compress_delta(data, stride, 4, prefix)
+            assert filtered == plain_delta(data, stride)
+            assert K.decompress(packed, len(data), method, prefix) == data and K.decompress(packed, len(data), method, prefix, filtered=True) == filtered
+
+
+@pytest.mark.parametrize("method", [0, 11, 20, 38, 39, 48, 49, 50, 80])
+def test_methods_that_are_not_read(method):
+    with pytest.raises(K.Damaged):
+        K.decompress(K.compress(b"abc", 4), 3, method)
+
+
+def test_archive_of_delta_streams():
+    files = [(f"f{i}.bin", bytes((j * (i + 1) + j % 3) % 256 for j in range(600)), 0) for i in range(9)]
+    made = A.build(files, {2: files[3][1]}, [2 if i % 2 else 1 for i in range(9)], strides=list(range(9)))
+    known = A.entries(made)
+    got = [e for e in known if e["kind"] == "file"]
+    assert [e["method"] for e in got] == [4, *range(30, 38)] and [A.extract(made, e, known) for e in got] == [f[1] for f in files]
+    assert [e["csum"] for e in got] == [A.csum(plain_delta(f[1], i) if i else f[1]) for i, f in enumerate(files)]
+
+
+def test_archives_with_shared_dictionaries(spark):
+    head = "".join(f"A shared line number {i} of a common head, {R.random()}.\n" for i in range(90)).encode()
+    files = [("a.txt", head + b"a" * 60 + R.randbytes(700)), ("b.txt", head + R.randbytes(900)), ("c.txt", head + R.randbytes(300)), ("other.bin", R.randbytes(5000)), ("small.txt", head[:500]), ("empty", b"")]
+    df = spark.createDataFrame([("one", n, c, 0) for n, c in files] + [("two", n, c, 0) for n, c in files[3:]], "archive string, name string, content binary, dos_time long")
+    made = A.create(df, grouped=True, bits=8)
+    listed = A.list_entries(made)
+    assert [(r.path, r.id, r.ref_ctr, r.size) for r in listed.where("kind = 'master'").collect()] == [("one", 2, 3, len(files[1][1]))]
+    assert {r.name: r.master for r in listed.where("kind = 'file' and path = 'one'").collect()} == {"a.txt": 2, "b.txt": 2, "c.txt": 2, "other.bin": 1, "small.txt": 1, "empty": 1}
+    back = A.extract_files(made).where("error is null").join(listed.where("kind = 'file'").select("path", "seq", "name"), ["path", "seq"])
+    assert sorted((r.path, r.name, bytes(r.content)) for r in back.collect()) == sorted([("one", *f) for f in files] + [("two", *f) for f in files[3:]])
+    plain = A.create(df).collect()
+    assert len(made.where("path = 'one'").first().content) < len(next(r for r in plain if r.path == "one").content)
+
+
+def test_gear_tables_are_read():
+    from cairn.functions import kernels as B
+
+    table = B.gear_table("x")
+    assert (B.read_gear("{" + ", ".join(f"0x{int(g):08X}" for g in table) + "};") == table).all()
+    for bad in ("1 2 3", " ".join(["5000000000"] * 256)):
+        with pytest.raises(ValueError):
+            B.read_gear(bad)
