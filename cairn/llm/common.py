@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A table of at most this many rows may be broadcast; its rows are counted first.
 BROADCAST_ROWS = 20_000
@@ -62,6 +63,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def as_declared(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """The columns of the schema. A table read back forgets which of them are never null; for plain types they are so again."""
+    plain = (T.NumericType, T.StringType, T.BooleanType)
+    again = lambda f: F.coalesce(F.col(f.name), F.lit(0).cast(f.dataType)).alias(f.name)
+    return df.select(*[F.col(f.name) if f.nullable or not isinstance(f.dataType, plain) else again(f) for f in schema])
+
+
 def written() -> int:
     """How many tables there are: where drop_tables may begin later."""
     return len(_WRITTEN)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import labels_of, materialise, table, thinned, threshold
+from .common import as_declared, labels_of, materialise, table, thinned, threshold
 from .textstats import text_stats
 
 BINS = 1000
@@ -149,4 +149,4 @@ def rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, with their columns as they were. The counts are made once, beside the rows."""
     rows = materialise(with_stats(docs), "rule-stats")
-    return scored(rows, fit(rows, table(spark, sf_dir, "labels"))).where("__rules.kept").select(*docs.columns)
+    return as_declared(scored(rows, fit(rows, table(spark, sf_dir, "labels"))).where("__rules.kept"), docs.schema)

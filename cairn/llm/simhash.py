@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_join, drop_tables, encoded, materialise, skewed_join, table, written
+from .common import as_declared, bounded_join, drop_tables, encoded, materialise, skewed_join, table, written
 
 WORDS, SEED, DISTANCE = 4, 42, 4
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
@@ -204,4 +204,4 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     nodes, linked = rooted(rows.select(F.col("__fp").alias("fp"), *order), "none", "doc_id", "h", "row")
     alone = nodes.join(linked.select("fp"), "fp", "left_anti").select("best.row")
     first = linked.groupBy("root").agg(F.min("best").alias("best")).select("best.row")
-    return rows.join(alone.union(first), F.col("__row") == F.col("row"), "left_semi").select(*docs.columns)
+    return as_declared(rows.join(alone.union(first), F.col("__row") == F.col("row"), "left_semi"), docs.schema)

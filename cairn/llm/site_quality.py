@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_join, fold, labels_of, logistic, materialise, sample_rows, skewed_join, table, threshold
+from .common import as_declared, bounded_join, fold, labels_of, logistic, materialise, sample_rows, skewed_join, table, threshold
 from .textstats import text_stats
 
 SAMPLE = 8000
@@ -162,4 +162,4 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the classifier keeps, with their columns as they were. The counts are made once, beside the rows."""
     rows = materialise(prepared(docs, "source", "lang"), "site-stats")
     model, paths = fit(rows, table(spark, sf_dir, "labels"))
-    return scored(rows, model, paths).where("__quality.kept").select(*docs.columns)
+    return as_declared(scored(rows, model, paths).where("__quality.kept"), docs.schema)

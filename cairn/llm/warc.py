@@ -9,7 +9,9 @@ attempts that succeeded, so a lost executor or a repeated task leaves nothing do
 Reader: archives are read as streams, in blocks. Every record's length and block digest are checked. After
 a failed check (a broken member, a bad header, a wrong length or digest, an early end) the reader searches
 for the next gzip member that decompresses to a version line, or the next plain version line; it goes on
-there and logs the bytes between as a row of type `gap` with the reason. Memory is that of one record.
+there and logs the bytes between as a row of type `gap` with the reason. Memory is that of one record, by the
+length it claims: a plain record with too large a length holds the archive's rest until it is found out, which
+is at most `most_bytes` and a record for archives of this writer.
 
 Hot payloads: the ids of repeated payloads come from a partial aggregation by digest and length; only
 repeated digests are joined back, from a written table, so adaptive skew splitting can divide a hot one.

@@ -203,6 +203,26 @@ def test_packing_query(spark, odd):
     assert K.packing_query(spark, odd[1]).count() == 0
 
 
+def test_packing_stage_packs_every_row_whole(spark, odd):
+    """Null, empty and long texts, equal rows, null ids and clashing names: each row's ids lie in pieces without gaps or overlaps."""
+    docs = spark.read.parquet(f"{odd[0]}/documents.parquet")
+    tok = K.load(K.default_tokenizer()) if hasattr(K, "load") else __import__("tokenizers").Tokenizer.from_file(K.default_tokenizer())
+    want = sorted((str(r.doc_id), len(tok.encode(r.text or "", add_special_tokens=False).ids) + 1) for r in docs.select("doc_id", "text").collect())
+    rows = K.packing_stage(spark, docs, odd[0]).collect()
+    assert sorted((str(r.doc_id), r.doc_tokens) for r in rows if r.start == 0) == want
+    assert sum(r.length for r in rows) == sum(n for _, n in want)
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for pieces in by.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at and length > 0
+            at += length
+        assert at <= 4096
+    assert K.packing_stage(spark, docs.limit(0), odd[0]).count() == 0
+
+
 def test_packer_keeps_few_windows_open():
     out = []
     p = K.Packer(out.append, window=10, most=2)
