@@ -13,6 +13,7 @@ from functools import cache
 from itertools import groupby
 
 import numpy as np
+import pyarrow as pa
 
 from .kernels import FNV32, FNV64, delta, undelta
 
@@ -27,33 +28,10 @@ def lz4_bound(n: int) -> int:
     return n + n // 255 + 16
 
 
-def _extended(n: int) -> bytes:
-    """What follows a 15 in a token: n - 15 as bytes of 255 and a rest."""
-    return b"" if n < 15 else b"\xff" * ((n - 15) // 255) + bytes([(n - 15) % 255])
-
-
 def lz4_compress(data: bytes) -> bytes:
-    """Tokens lit:4 | match:4, literals, offset (2 bytes), matches of 4 or more within 65,535 bytes."""
-    out, last, start, i, n = bytearray(), {}, 0, 0, len(data)
-    while i + 4 <= n:
-        key = data[i : i + 4]
-        p = last.get(key, -1)
-        last[key] = i
-        if p < 0 or i - p > 65_535:
-            i += 1
-            continue
-        size = 4
-        while i + size < n and data[p + size] == data[i + size]:
-            size += 1
-        lit = i - start
-        out.append(min(lit, 15) << 4 | min(size - 4, 15))
-        out += _extended(lit) + data[start:i] + (i - p).to_bytes(2, "little") + _extended(size - 4)
-        i += size
-        start = i
-    if start < n:
-        out.append(min(n - start, 15) << 4)
-        out += _extended(n - start) + data[start:]
-    return bytes(out)
+    """Tokens lit:4 | match:4, literals, offset (2 bytes), matches of 4 or more within 65,535 bytes, by Arrow's encoder. The
+    decoder below also takes blocks that end in a match, which Arrow's refuses."""
+    return pa.compress(data, codec="lz4_raw", asbytes=True) if data else b""
 
 
 def lz4_decompress(data: bytes) -> bytes:
