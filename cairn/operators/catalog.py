@@ -287,6 +287,23 @@ def freshen(mine: DataFrame, theirs: DataFrame, key: str, time: str, only_known:
     return joined.where(newer if only_known else newer | F.col("__mine").isNull()).drop("__mine")
 
 
+def keep_revisions(entries: DataFrame, marked: DataFrame, keys: list[str], seq: str) -> DataFrame:
+    """Of entries with versions those that are marked (keys, version); the rest is gone, and versions are counted anew."""
+    kept = entries.join(marked.select(*keys, "version").distinct(), [*keys, "version"], "left_semi")
+    return versions(kept.drop("version"), keys, seq)
+
+
+def numbered(known: DataFrame, wanted: DataFrame, key: str, index: str, first: int = 2) -> DataFrame:
+    """Each wanted key once with its index and whether it is new: the known one, or for keys that are not known the numbers
+    after the largest known (from `first` on where none is) in order of the keys, which are numbers."""
+    asked = wanted.select(key).where(F.col(key).isNotNull()).distinct()
+    found = asked.join(known.select(key, index), key).withColumn("is_new", F.lit(False))
+    top = known.agg(F.max(index)).first()[0]
+    start = first if top is None else max(first, top + 1)
+    new = running_before(asked.join(known, key, "left_anti"), [], F.col(key), F.lit(1).cast("long"), "__before")
+    return found.unionByName(new.select(key, (F.col("__before") + start).alias(index), F.lit(True).alias("is_new")))
+
+
 def name_bucket(bytes_: Column) -> Column:
     """A 64-bucket hash: the XOR of the bytes, six bits of it."""
     return F.aggregate(bytes_, F.lit(0), lambda a, b: a.bitwiseXOR(b)).bitwiseAND(F.lit(63))

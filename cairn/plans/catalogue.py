@@ -277,6 +277,18 @@ def walk_order(spark, d):
     return both.withColumn("place", F.row_number().over(Window.partitionBy(parent).orderBy(*order)).cast("long"))
 
 
+def kept_revisions(spark, d):
+    """The listing after a list of every third version was applied as a filter."""
+    e = catalog_listing(spark, d)
+    return C.keep_revisions(e, e.where("version % 3 = 1"), ["path"], "doc_id")
+
+
+def master_numbers(spark, d):
+    """The customers of orders, some of whom have a number already, and numbers for the others."""
+    known = table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").cast("long").alias("key"), F.expr("c_custkey div 3 + 1").cast("long").alias("index"))
+    return C.numbered(known, table(spark, d, "orders").select(F.col("o_custkey").cast("long").alias("key")), "key", "index")
+
+
 def error_names(spark, d):
     return table(spark, d, "orders").select("o_orderkey", C.named((-(F.col("o_orderkey") % 9)).cast("int"), C.ERRORS, "Error").alias("message"))
 
@@ -529,6 +541,12 @@ e AS (SELECT path, false AS is_dir FROM p UNION ALL SELECT path, true FROM u)
 SELECT path, is_dir, row_number() OVER (PARTITION BY CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END ORDER BY is_dir, path) AS place FROM e""",
     "named_versions": f"""SELECT path, version, doc_id FROM {LISTING} WHERE regexp_matches(path, '^src1/[^/]*$') AND version = 1 OR regexp_matches(path, '^src2/e[^/]*$') OR regexp_matches(path, '^src[3-5]/de$') AND version = 0""",
     "archive_totals": f"""SELECT count(DISTINCT split_part(path, '/', 1)) AS dirs, count(DISTINCT path) AS files, count(*) AS revisions, sum(size)::BIGINT AS bytes, (sum(size) FILTER (version = 0))::BIGINT AS newest_bytes, max(version) AS max_version FROM {LISTING}""",
+    "kept_revisions": f"SELECT path, size, doc_id, row_number() OVER (PARTITION BY path ORDER BY doc_id DESC) - 1 AS version FROM {LISTING} WHERE version % 3 = 1",
+    "master_numbers": """
+WITH k AS (SELECT c_custkey AS key, c_custkey // 3 + 1 AS i FROM customer WHERE c_custkey % 3 = 0),
+w AS (SELECT DISTINCT o_custkey AS key FROM orders WHERE o_custkey IS NOT NULL)
+SELECT key::BIGINT AS key, i::BIGINT AS index, false AS is_new FROM w JOIN k USING (key)
+UNION ALL SELECT key::BIGINT, greatest(2, coalesce((SELECT max(i) FROM k), 1) + 1) + row_number() OVER (ORDER BY key) - 1, true FROM w WHERE key NOT IN (SELECT key FROM k)""",
     "error_names": """SELECT o_orderkey, CASE o_orderkey % 9 WHEN 2 THEN 'Callback fault' WHEN 3 THEN 'Bad state' WHEN 4 THEN 'Damaged archive' WHEN 5 THEN 'Truncated' WHEN 6 THEN 'Unimplemented' WHEN 7 THEN 'Internal error' ELSE 'Error' END AS message FROM orders""",
     "catalog_listing": f"SELECT * FROM {LISTING}",
     "latest_versions": f"SELECT * FROM {LISTING} WHERE version = 0",
@@ -585,6 +603,6 @@ QUERIES = {f.__name__: f for f in (
     checksum_documents, fnv32_documents, fnv64_documents, exact_dup_groups, content_type, magic_identify, byte_histogram, entropy_by_lang, rans_freq_table, small_literal_csize,
     delta_filter_bytes, delta_checksums, dos_time_roundtrip, dos_names, bwt_short, parity_sectors, parity_repair, cdc_chunks, chunk_hashes, merkle_root, merkle_similarity, blockstore_ingest,
     blockstore_totals, store_delta, shared_chunk_files, source_overlap, dedup_by_source, simhash_benchmark, simhash_documents, near_dup_classes, master_grouping, catalog_listing,
-    latest_versions, listing_totals, glob_select, named_versions, archive_totals, walk_order, error_names, subtree_select, as_of_version, dir_paths, master_chain, running_offsets, contains_text,
+    latest_versions, listing_totals, glob_select, named_versions, archive_totals, walk_order, kept_revisions, master_numbers, error_names, subtree_select, as_of_version, dir_paths, master_chain, running_offsets, contains_text,
     chunk_candidates, candidates_documents, parent_join, dir_tree, listing_lines, freshened, signatures, quota_heads,
 )}

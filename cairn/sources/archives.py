@@ -2,12 +2,15 @@
 
 An archive has a head of 29 bytes, the files' and dictionaries' compressed data, and a compressed central
 directory at its end: records of dictionaries, directories, files (each with its long name as a tag), and
-a tail with a label. Reading lists only the directory's records; data are decompressed on extraction.
+a tail with a label. Listing reads the head and the directory alone; data are decompressed on extraction.
 """
 
 from __future__ import annotations
 
+import re
 import struct
+from collections.abc import Callable
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +34,7 @@ NO_MASTER = bytes(512)
 L, S, B = T.LongType(), T.StringType(), T.BooleanType()
 ENTRY = T.StructType([T.StructField(n, t) for n, t in (
     ("seq", L), ("kind", S), ("dir_id", L), ("id", L), ("name", S), ("dos_name", S), ("attr", L), ("dos_time", L), ("size", L), ("csize", L), ("csum", L), ("method", L), ("master", L),
-    ("offset", L), ("tags", T.ArrayType(T.StructType([T.StructField("tag", S), T.StructField("data", T.BinaryType())]))), ("ref_len", L), ("ref_ctr", L), ("error", S))])
+    ("offset", L), ("tags", T.ArrayType(T.StructType([T.StructField("tag", S), T.StructField("data", T.BinaryType())]))), ("ref_len", L), ("ref_ctr", L), ("full_name", S), ("error", S))])
 
 
 def csum(data: bytes) -> int:
@@ -44,8 +47,8 @@ def dos_name(name: str) -> bytes:
     return (stem[:8].ljust(8) + ext[:3].ljust(3)).encode("ascii", "replace")[:11]
 
 
-def build(files: list[tuple[str, bytes, int]], masters: dict[int, bytes] | None = None, assigned: list[int] | None = None, level: int = 4, label: str = "", strides: list[int] | None = None) -> bytes:
-    """An archive of (path, content, dos_time) with dictionaries (index from 2 on) and each file's index (1: none) and delta stride (0: none)."""
+def build(files: list[tuple[str, bytes, int]], masters: dict[int, bytes] | None = None, assigned: list[int] | None = None, level: int = 4, label: str = "", strides: list[int] | None = None, tags: list[list[tuple[str, bytes]]] | None = None, attrs: list[int] | None = None) -> bytes:
+    """An archive of (path, content, dos_time) with dictionaries (index from 2 on) and each file's index (1: none), delta stride (0: none), tags and attributes."""
     masters, assigned = masters or {}, assigned or [NONE] * len(files)
     method = codecs.METHOD_RANS if level >= 6 else level
     data, at = bytearray(29), {}
@@ -56,16 +59,21 @@ def build(files: list[tuple[str, bytes, int]], masters: dict[int, bytes] | None
         key = codecs.dict_create(content)["checksum"]
         records.append(bytes([MASTER]) + MASTER_META.pack(index, key, sum(used), len(used), len(content), csum(content)) + COMPRESS.pack(len(packed), method, NONE) + LOCATION.pack(1, len(data)))
         data += packed
-    tag = lambda name: TAG.pack(LONG_NAME, len(name.encode()) + 1, 0) + name.encode() + b"\0"
+
+    def tag(name: str, others: list[tuple[str, bytes]] = ()) -> bytes:
+        pairs = [(LONG_NAME, name.encode() + b"\0"), *((t.encode("latin-1", "replace")[:15], v) for t, v in others)]
+        return b"".join(TAG.pack(t, len(v), n < len(pairs)) + v for n, (t, v) in enumerate(pairs, 1))
+
     for path in sorted({p.rsplit("/", i)[0] for p, _, _ in files for i in range(1, p.count("/") + 1)}, key=lambda p: (p.count("/"), p)):
         parent, _, name = path.rpartition("/")
         at[path] = len(at) + 1
         records.append(bytes([DIR]) + OS_META.pack(at.get(parent, 0), DIR_BIT, 0, dos_name(name), 0, 1) + struct.pack("<I", at[path]) + tag(name))
-    for (path, content, time), index, stride in zip(files, assigned, strides or [0] * len(files)):
+    none = [0] * len(files)
+    for (path, content, time), index, stride, others, attr in zip(files, assigned, strides or none, tags or [()] * len(files), attrs or none):
         parent, _, name = path.rpartition("/")
         prefix = masters.get(index, NO_MASTER)
         how, packed, summed = codecs.compress_delta(content, stride, min(level, 5), prefix) if stride else (method, codecs.compress(content, level, prefix), content)
-        records.append(bytes([FILE]) + OS_META.pack(at.get(parent, 0), FILE_BIT, time, dos_name(name), 0, 1) + FILE_META.pack(len(content), csum(summed)) + COMPRESS.pack(len(packed), how, index) + LOCATION.pack(1, len(data)) + tag(name))
+        records.append(bytes([FILE]) + OS_META.pack(at.get(parent, 0), FILE_BIT | attr, time, dos_name(name), 0, 1) + FILE_META.pack(len(content), csum(summed)) + COMPRESS.pack(len(packed), how, index) + LOCATION.pack(1, len(data)) + tag(name, others))
         data += packed
     raw = b"".join(records) + bytes([END]) + TAIL.pack(0, 0, 0, label.encode()[:11].ljust(11), 0)
     place = len(data)
@@ -75,32 +83,41 @@ def build(files: list[tuple[str, bytes, int]], masters: dict[int, bytes] | None
     return bytes(data)
 
 
-def directory(archive: bytes) -> bytes:
-    """The decompressed central directory, checked."""
-    if len(archive) < 29:
+Read = Callable[[int, int], bytes]
+
+
+def directory(read: Read, length: int) -> bytes:
+    """The decompressed central directory, checked; read(at, n) gives n bytes of an archive of this length."""
+    start = read(0, 29)
+    if len(start) < 29:
         raise codecs.Damaged("truncated")
-    head, size, again, _, volume, place, total, _, _, needs, _ = struct.unpack_from("<IIIBIIHBHHB", archive)
+    head, size, again, _, volume, place, total, _, _, needs, _ = struct.unpack_from("<IIIBIIHBHHB", start)
     if head != HEAD or again != (size + HEAD_SUM) & 0xFFFFFFFF or volume != 1 or place >= size + 13:
         raise codecs.Damaged("header")
     if needs > NEWEST:
         raise codecs.Damaged(f"version {needs}")
-    if place + COMPRESS.size > len(archive):
+    if place + COMPRESS.size > length:
         raise codecs.Damaged("truncated")
-    _, method, master = COMPRESS.unpack_from(archive, place)
+    packed = read(place, length - place)
+    _, method, master = COMPRESS.unpack_from(packed)
     if master != NONE:
         raise codecs.Damaged("directory")
-    raw = codecs.decompress(archive[place + COMPRESS.size :], None, method, NO_MASTER)
+    raw = codecs.decompress(packed[COMPRESS.size :], None, method, NO_MASTER)
     if csum(raw) != total:
         raise codecs.Damaged("checksum")
     return raw
 
 
 def entries(archive: bytes) -> list[dict]:
+    return entries_at(lambda at, n: archive[at : at + n], len(archive))
+
+
+def entries_at(read: Read, length: int) -> list[dict]:
     """Records in order; a broken archive ends in one of kind `error`."""
     out: list[dict] = []
     blank = dict.fromkeys(ENTRY.names)
     try:
-        raw, i = directory(archive), 0
+        raw, i = directory(read, length), 0
         while raw[i] != END:
             kind, i = raw[i], i + 1
             row = blank | {"seq": len(out), "tags": []}
@@ -138,6 +155,15 @@ def entries(archive: bytes) -> list[dict]:
         out.append(blank | {"seq": len(out), "kind": "label", "name": label, "tags": []})
     except (codecs.Damaged, struct.error, IndexError) as e:
         out.append(blank | {"seq": len(out), "kind": "error", "error": str(e), "tags": []})
+    dirs = {e["id"]: e for e in out if e["kind"] == "dir"}
+    for e in out:
+        if e["kind"] in ("dir", "file"):  # a circle, or a directory that is not there, ends at the root
+            names, up, seen = [e["name"]], e["dir_id"], set()
+            while up in dirs and up not in seen:
+                seen.add(up)
+                names.append(dirs[up]["name"])
+                up = dirs[up]["dir_id"]
+            e["full_name"] = "/".join(reversed(names))
     return out
 
 
@@ -160,11 +186,32 @@ def extract(archive: bytes, entry: dict, known: list[dict], above: tuple[int, ..
     return codecs.undelta(data, stride) if stride else data
 
 
-@F.arrow_udf(T.ArrayType(ENTRY))
-def entry_list(v: pa.Array) -> pa.Array:
+def entry_arrays(lists: list[list[dict]]) -> pa.Array:
     kinds = {S: pa.string(), L: pa.int64()}
     t = pa.struct([(f.name, pa.list_(pa.struct([("tag", pa.string()), ("data", pa.binary())])) if f.name == "tags" else kinds[f.dataType]) for f in ENTRY])
-    return pa.array([entries(x or b"") for x in v.to_pylist()], pa.list_(t))
+    return pa.array(lists, pa.list_(t))
+
+
+@F.arrow_udf(T.ArrayType(ENTRY))
+def entry_list(v: pa.Array) -> pa.Array:
+    return entry_arrays([entries(x or b"") for x in v.to_pylist()])
+
+
+@F.arrow_udf(T.ArrayType(ENTRY))
+def entry_list_at(paths: pa.Array, lengths: pa.Array) -> pa.Array:
+    from pyarrow import fs
+
+    out = []
+    for path, length in zip(paths.to_pylist(), lengths.to_pylist()):
+        system, at = fs.FileSystem.from_uri(quote(re.sub("^file:/+", "file:///", re.sub("^s3[an]:", "s3:", path)), safe=":/@"))
+        with system.open_input_file(at) as f:
+
+            def read(place: int, n: int, f=f) -> bytes:
+                f.seek(place)
+                return f.read(n)
+
+            out.append(entries_at(read, length))
+    return entry_arrays(out)
 
 
 EXTRACTED = T.StructType([T.StructField("seq", L), T.StructField("content", T.BinaryType()), T.StructField("error", S)])
@@ -195,6 +242,29 @@ def list_entries(archives: DataFrame) -> DataFrame:
     return archives.select("path", F.explode(entry_list("content")).alias("e")).select("path", "e.*")
 
 
+def list_archives(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of list_entries for all archives below a path, of which only heads and directories are read: whatever the
+    archives' size, a task holds one directory. For stores that Arrow's file systems know; for others scan() and list_entries."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0").select("path", "length")
+    return found.select("path", F.explode(entry_list_at("path", "length")).alias("e")).select("path", "e.*")
+
+
+def dump_tags(listed: DataFrame) -> DataFrame:
+    """The tags of listed entries but for their long names: a row for each, in order."""
+    tags = listed.where("kind in ('file', 'dir')").select("path", "seq", F.col("full_name").alias("name"), F.posexplode("tags").alias("place", "t"))
+    return tags.select("path", "seq", "name", "place", "t.tag", "t.data").where(F.col("tag") != LONG_NAME.rstrip(b"\0").decode())
+
+
+def reload_tags(files: DataFrame, dump: DataFrame) -> DataFrame:
+    """Files (archive, name, ...) with column tags: those of a dump (archive, name, place, tag, data) in place of all that a
+    file had; files that the dump does not name keep theirs."""
+    new = dump.groupBy("archive", "name").agg(F.array_sort(F.collect_list(F.struct("place", "tag", "data"))).alias("__new"))
+    new = new.withColumn("__new", F.transform("__new", lambda t: F.struct(t["tag"].alias("tag"), t["data"].alias("data"))))
+    none = F.array().cast("array<struct<tag:string,data:binary>>")
+    own = [F.col("tags")] if "tags" in files.columns else []
+    return files.join(new, ["archive", "name"], "left").withColumn("tags", F.coalesce("__new", *own, none)).drop("__new")
+
+
 def extract_files(archives: DataFrame) -> DataFrame:
     return archives.select("path", F.explode(extracted_list("content")).alias("e")).select("path", "e.*")
 
@@ -221,7 +291,8 @@ def dictionaries(contents: list[bytes], bits: int = 12) -> tuple[dict[int, bytes
 
 
 def create(files: DataFrame, level: int = 4, grouped: bool = False, bits: int = 12) -> DataFrame:
-    """One archive (path, content) for each value of column archive, from rows (archive, name, content, dos_time).
+    """One archive (path, content) for each value of column archive, from rows (archive, name, content, dos_time)
+    and, where there are such columns, tags (structs of tag and data) and attr.
 
     grouped: files that share chunks share a dictionary. An archive is one file, made by one task: what goes into one is
     for the caller to bound."""
@@ -229,7 +300,8 @@ def create(files: DataFrame, level: int = 4, grouped: bool = False, bits: int =
     def run(t: pa.Table) -> pa.Table:
         rows = sorted(t.to_pylist(), key=lambda r: r["name"])
         shared = dictionaries([r["content"] for r in rows], bits) if grouped else (None, None)
-        made = build([(r["name"], r["content"], r["dos_time"]) for r in rows], *shared, level=level)
+        tags = [[(x["tag"], x["data"] or b"") for x in r.get("tags") or ()] for r in rows]
+        made = build([(r["name"], r["content"], r["dos_time"]) for r in rows], *shared, level=level, tags=tags, attrs=[r.get("attr") or 0 for r in rows])
         return pa.table({"path": [rows[0]["archive"]], "content": pa.array([made], pa.binary())})
 
     return files.groupBy("archive").applyInArrow(run, "path string, content binary")

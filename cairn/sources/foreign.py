@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import os
 import tarfile
+import time
 import zipfile
 
 import pyarrow as pa
@@ -12,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.lineage import written
+
 MEMBER = T.StructType([T.StructField("name", T.StringType()), T.StructField("content", T.BinaryType()), T.StructField("error", T.StringType())])
 WRITTEN = T.StructType([T.StructField("name", T.StringType()), T.StructField("size", T.LongType()), T.StructField("state", T.StringType())])
 
@@ -53,21 +57,50 @@ def read_foreign(archives: DataFrame) -> DataFrame:
     return archives.select("path", F.explode(member_list("content")).alias("m")).select("path", "m.*")
 
 
-def write_files(files: DataFrame, folder: str, overwrite: bool = False) -> DataFrame:
+READ_ONLY = 1
+
+
+def file_system(folder: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
+
+
+def refused(name: str | None) -> bool:
+    """Whether a name is none, absolute, or climbs out of the folder."""
+    return not name or name.startswith("/") or ".." in name.split("/")
+
+
+def set_attributes(system, place: str, dos_time: int | None, attr: int | None = 0) -> None:
+    """The time (local, as packed numbers have it; 0: left alone) and the read-only bit; only local files have them."""
+    from pyarrow import fs
+
+    if not isinstance(system, fs.LocalFileSystem):
+        return
+    n = dos_time or 0
+    if n:
+        at = time.mktime((1980 + (n >> 25), n >> 21 & 15, n >> 16 & 31, n >> 11 & 31, n >> 5 & 63, n << 1 & 62, 0, 0, -1))
+        os.utime(place, (at, at))
+    if (attr or 0) & READ_ONLY:
+        os.chmod(place, 0o444)
+
+
+def write_files(files: DataFrame, folder: str, overwrite: bool = False, restore: bool = False) -> DataFrame:
     """Writes rows (name, content) below a folder that all executors reach; what became of each: written, or kept if there already.
 
     Names that are absolute or climb out of the folder are refused. A file is written beside its place and
-    then moved, so a repeated task does no harm. Nothing happens until the result is used."""
+    then moved, so a repeated task does no harm. restore: columns dos_time and attr give its time and whether it is
+    read-only. Nothing happens until the result is used."""
 
     def run(batches):
         from pyarrow import fs
 
-        system, base = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
+        system, base = file_system(folder)
         for batch in batches:
             rows = []
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                parts = (name or "").split("/")
-                if not name or name.startswith("/") or ".." in parts:
+            for r in batch.to_pylist():
+                name, content = r["name"], r["content"] or b""
+                if refused(name):
                     rows.append({"name": name, "size": None, "state": "refused"})
                     continue
                 place = f"{base}/{name}"
@@ -77,9 +110,44 @@ def write_files(files: DataFrame, folder: str, overwrite: bool = False) -> DataF
                 system.create_dir(place.rpartition("/")[0], recursive=True)
                 beside = f"{place}.part-{TaskContext.get().taskAttemptId()}"
                 with system.open_output_stream(beside, compression=None) as out:
-                    out.write(content or b"")
+                    out.write(content)
+                if restore:
+                    set_attributes(system, beside, r["dos_time"], r["attr"])
                 system.move(beside, place)
-                rows.append({"name": name, "size": len(content or b""), "state": "written"})
+                rows.append({"name": name, "size": len(content), "state": "written"})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("name", pa.string()), ("size", pa.int64()), ("state", pa.string())]))
 
-    return files.select("name", "content").mapInArrow(run, WRITTEN)
+    return files.select("name", "content", *(["dos_time", "attr"] if restore else [])).mapInArrow(run, WRITTEN)
+
+
+def _each_dir(dirs: DataFrame, folder: str, times: bool) -> DataFrame:
+    """Directories (name, dos_time) made, or given their times."""
+
+    def run(batches):
+        system, base = file_system(folder)
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                if refused(r["name"]):
+                    rows.append({"name": r["name"], "size": None, "state": "refused"})
+                    continue
+                if times:
+                    set_attributes(system, f"{base}/{r['name']}", r["dos_time"])
+                else:
+                    system.create_dir(f"{base}/{r['name']}", recursive=True)
+                rows.append({"name": r["name"], "size": None, "state": "directory"})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("name", pa.string()), ("size", pa.int64()), ("state", pa.string())]))
+
+    return dirs.select("name", "dos_time").mapInArrow(run, WRITTEN)
+
+
+def extract_tree(files: DataFrame, dirs: DataFrame, folder: str, overwrite: bool = False, restore: str = "all") -> DataFrame:
+    """Files (name, content, dos_time, attr) and directories (name, dos_time) written below a folder, empty directories as
+    well, and what became of each. The directories' times are set when all else is done, as writing into them changes these.
+
+    restore: all; files: directories keep the time of writing; none: files too, and none is read-only. Directories stay writable."""
+    done = written(write_files(files, folder, overwrite, restore != "none"))
+    made = written(_each_dir(dirs, folder, False))
+    if restore == "all":
+        made = written(_each_dir(dirs, folder, True))
+    return done.unionByName(made)

@@ -82,6 +82,21 @@ def test_selection_by_names_with_versions(spark):
     assert take("*/x;1", "a/y") == [("a/x", 1), ("a/y", 0), ("b/x", 1)] and take("b/x;1;0") == [("b/x;1", 0)] and take() == []
 
 
+def test_filters_keep_marked_revisions(spark):
+    df = spark.createDataFrame([("a", 1, 2), ("a", 2, 1), ("a", 3, 0), ("b", 4, 0)], "path string, seq long, version long")
+    marked = spark.createDataFrame([("a", 0), ("a", 2), ("a", 2), ("c", 0)], "path string, version long")
+    assert {(r.path, r.seq, r.version) for r in C.keep_revisions(df, marked, ["path"], "seq").collect()} == {("a", 3, 0), ("a", 1, 1)}
+    assert C.keep_revisions(df, marked.limit(0), ["path"], "seq").count() == 0
+
+
+def test_keys_get_their_index_or_a_new_one(spark):
+    known = spark.createDataFrame([(10, 2), (5, 7)], "key long, index long")
+    asked = spark.createDataFrame([(5,), (9,), (None,), (3,), (9,), (12,)], "key long")
+    assert {tuple(r) for r in C.numbered(known, asked, "key", "index").collect()} == {(5, 7, False), (3, 8, True), (9, 9, True), (12, 10, True)}
+    assert {tuple(r) for r in C.numbered(known.limit(0), asked, "key", "index").collect()} == {(3, 2, True), (5, 3, True), (9, 4, True), (12, 5, True)}
+    assert C.numbered(known, asked.limit(0), "key", "index").count() == 0
+
+
 def test_lost_entries_go_to_the_root(spark):
     e = spark.createDataFrame([("a", 1), ("b", 9), ("c", 0)], "name string, dir_id long")
     d = spark.createDataFrame([(1, "src")], "id long, path string")

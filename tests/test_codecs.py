@@ -252,6 +252,61 @@ def test_archives_with_shared_dictionaries(spark):
     assert len(made.where("path = 'one'").first().content) < len(next(r for r in plain if r.path == "one").content)
 
 
+def test_listing_reads_head_and_directory_only(spark, tmp_path):
+    (tmp_path / "a dir%").mkdir()
+    whole = A.build(FILES, level=5)
+    (tmp_path / "a dir%" / "x.arc").write_bytes(whole)
+    (tmp_path / "cut.arc").write_bytes(whole[:-3])
+    (tmp_path / "short.arc").write_bytes(whole[:20])
+    (tmp_path / "none.arc").write_bytes(b"")
+    got = {}
+    for r in A.list_archives(spark, f"file://{tmp_path}").collect():
+        got.setdefault(r.path.rsplit("/", 1)[1], []).append(r)
+    assert sorted(got) == ["cut.arc", "short.arc", "x.arc"] and got["short.arc"][0].error == "truncated" and got["cut.arc"][-1].kind == "error"
+    assert {r.full_name: r.size for r in got["x.arc"] if r.kind == "file"} == {n: len(c) for n, c, _ in FILES}
+    asked = []
+    assert A.entries_at(lambda at, n: asked.append((at, n)) or whole[at : at + n], len(whole)) == A.entries(whole)
+    assert len(asked) == 2 and sum(n for _, n in asked) < len(whole) - 700
+
+
+def test_tags_are_dumped_and_reloaded(spark):
+    from pyspark.sql import functions as F
+
+    files = "archive string, name string, content binary, dos_time long, attr int, tags array<struct<tag:string,data:binary>>"
+    rows = [("one", "d/a", b"1", 5, 1, [("AIP:note", b"x" * 3000), ("AIP:empty", b"")]), ("one", "b", b"2", 0, 0, None), ("two", "d/a", b"3", 0, 2, [])]
+    made = A.create(spark.createDataFrame(rows, files))
+    listed = A.list_entries(made)
+    assert {(r.path, r.full_name): r.attr for r in listed.where("kind = 'file'").collect()} == {("one", "d/a"): 33, ("one", "b"): 32, ("two", "d/a"): 34}
+    dump = A.dump_tags(listed)
+    assert [(r.path, r["name"], r.tag, bytes(r.data)) for r in dump.orderBy("place").collect()] == [("one", "d/a", "AIP:note", b"x" * 3000), ("one", "d/a", "AIP:empty", b"")]
+    plain = spark.createDataFrame([r[:4] for r in rows], "archive string, name string, content binary, dos_time long")
+    again = A.create(A.reload_tags(plain, dump.select(F.col("path").alias("archive"), "name", "place", "tag", "data")))
+    assert sorted(map(tuple, A.dump_tags(A.list_entries(again)).drop("seq", "path").collect())) == sorted(map(tuple, dump.drop("seq", "path").collect()))
+    replaced = A.reload_tags(spark.createDataFrame(rows, files), spark.createDataFrame([("one", "d/a", 0, "AIP:new", b"n")], "archive string, name string, place int, tag string, data binary"))
+    assert {(r.archive, r["name"]): [x.tag for x in r.tags] for r in replaced.collect()} == {("one", "d/a"): ["AIP:new"], ("one", "b"): [], ("two", "d/a"): []}
+
+
+def test_extraction_gives_times_and_read_only(spark, tmp_path):
+    import os
+    import time
+
+    from cairn.sources import foreign as X
+
+    packed = (2001 - 1980 << 25) | 3 << 21 | 4 << 16 | 5 << 11 | 6 << 5 | 7
+    then = time.mktime((2001, 3, 4, 5, 6, 14, 0, 0, -1))
+    files = spark.createDataFrame([("d/e/f", b"1", packed, 1), ("g", b"2", 0, 0), ("/abs", b"3", 0, 0)], "name string, content binary, dos_time long, attr int")
+    dirs = spark.createDataFrame([("d", packed), ("d/e", packed), ("empty/below", packed), ("../out", packed)], "name string, dos_time long")
+    for restore in ("all", "files", "none"):
+        root = tmp_path / restore
+        got = {r.name: r.state for r in X.extract_tree(files, dirs, f"file://{root}", restore=restore).collect()}
+        assert got == {"d/e/f": "written", "g": "written", "/abs": "refused", "d": "directory", "d/e": "directory", "empty/below": "directory", "../out": "refused"}
+        assert (os.stat(root / "d/e/f").st_mtime == then) == (restore != "none") and (os.stat(root / "d/e/f").st_mode & 0o222 == 0) == (restore != "none")
+        assert all((os.stat(root / d).st_mtime == then) == (restore == "all") for d in ("d", "d/e", "empty/below")) and os.stat(root / "g").st_mtime > then
+    assert not (tmp_path / "out").exists()
+    again = X.extract_tree(files, dirs, f"file://{tmp_path}/all", overwrite=True).where("state = 'written'").count()
+    assert again == 2
+
+
 def test_gear_tables_are_read():
     from cairn.functions import kernels as B
 
