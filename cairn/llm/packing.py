@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import cache
 
 import numpy as np
@@ -64,7 +65,8 @@ class Encoder:
     """Ids of texts as little-endian unsigned 32-bit numbers.
 
     A word of Latin-1 characters is lowered and split into pre-tokens, which the vocabulary encodes each
-    for itself; other words go to the tokenizer as they are. What it made is kept by word and pre-token.
+    for itself, those of printable ASCII by its model without the steps before it, which leave them as they
+    are; other words go to the tokenizer as they are. What it made is kept by word and pre-token.
     """
 
     def __init__(self, path: str):
@@ -106,7 +108,10 @@ class Encoder:
             else:
                 whole.append(w)
         parts = list({p for ps in split.values() for p in ps}.difference(self.parts))
-        got = dict(zip(parts, self._encode(parts)))
+        plain = [p for p in parts if p.isascii() and p.isprintable()]
+        got = dict(zip(plain, self._merged(plain)))
+        others = [p for p in parts if p not in got]
+        got.update(zip(others, self._encode(others)))
         if len(self.parts) < MOST_WORDS:
             self.parts.update((p, i) for p, i in got.items() if len(p) <= LONGEST_WORD)
         known = self.parts
@@ -116,6 +121,15 @@ class Encoder:
             self.words.update((w, i) for w, i in made.items() if len(w) <= LONGEST_WORD)
         return made
 
+    def _merged(self, parts: list[str]) -> list[bytes]:
+        """Ids of lower-case pre-tokens of printable ASCII, by the model alone."""
+        merge, ids, ends = tokenizer(self.path).model.tokenize, array("I"), [0]
+        for p in parts:
+            ids.extend([t.id for t in merge(p)])
+            ends.append(4 * len(ids))
+        data = np.asarray(ids, "<u4").tobytes()
+        return [data[a:b] for a, b in zip(ends, ends[1:])]
+
     def _encode(self, words: list[str]) -> list[bytes]:
         """Ids of words, each encoded for itself: many in one call with a mark between them."""
         t = tokenizer(self.path)
