@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from array import array
 from functools import cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -109,14 +110,20 @@ class Stream:
         model, text, back, sizes = self.model, self.text, self.back, self.sizes
         tails, follow, may_follow = model.tails.get, model.follow.get, model.may_follow
         for end in range(len(back), len(text) + 1):
-            ending = []  # pieces that end here, the longest last
-            for start in range(end - 1, -1, -1):
-                found = tails(text[start:end])
-                if found is None:
-                    break
+            ending = []  # pieces that end here and where they start, the longest last
+            start = end - 1
+            found = tails(text[start:end])
+            while found is not None:
                 if found >= 0:
-                    ending.append((found, start))
-            for found, start in reversed(ending):
+                    ending.append(found)
+                    ending.append(start)
+                if not start:
+                    break
+                start -= 1
+                found = tails(text[start:end])
+            while ending:
+                start = ending.pop()
+                found = ending.pop()
                 before = back[start]
                 if before < 0:
                     break
@@ -145,7 +152,10 @@ class Stream:
         out, at = [], meet
         while at:
             i = back[at]
-            out += (i,) if i >= 0 else [model.bytes[b] for b in reversed(text[at - 1].encode("utf-8", "surrogatepass"))]
+            if i >= 0:
+                out.append(i)
+            else:
+                out += [model.bytes[b] for b in reversed(text[at - 1].encode("utf-8", "surrogatepass"))]
             at -= sizes[at]
         if meet and not over:
             self._start(text[meet:], back[meet:], sizes[meet:])
@@ -163,12 +173,13 @@ class Encoder:
 
     def __init__(self, path: str):
         self.model, self.known = model_of(path), {}
+        self.stream = Stream(self.model)
 
     def span(self, span: str) -> bytes:
         """The ids of a run of characters. Between two characters that no piece holds side by side all paths meet."""
         inside, known, start, out = self.model.inside, self.known, 0, []
-        for i in range(1, len(span)):
-            if span[i - 1 : i + 1] not in inside:
+        for i, (a, b) in enumerate(pairwise(span), 1):
+            if a + b not in inside:
                 part = span[start:i]
                 out.append(known.get(part) or self._search(part))
                 start = i
@@ -180,7 +191,7 @@ class Encoder:
         return data
 
     def _search(self, part: str) -> bytes:
-        stream = Stream(self.model)
+        stream = self.stream  # finish() leaves it empty
         data = array("i", stream.push(part) + stream.finish()).tobytes()
         if len(part) <= LONGEST_KEPT and len(self.known) < MOST_KEPT:
             self.known[part] = data
