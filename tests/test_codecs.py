@@ -315,3 +315,24 @@ def test_gear_tables_are_read():
     for bad in ("1 2 3", " ".join(["5000000000"] * 256)):
         with pytest.raises(ValueError):
             B.read_gear(bad)
+
+
+def test_scripts_of_repeating_texts_are_short(spark, tmp_path):
+    from compare import differences
+    import duckdb
+
+    from cairn.plans.codec_queries import QUERIES, SQL
+
+    for x in (b"ab" * 500, b"x" * 401, b"one line and\n" * 90):
+        y = x[: len(x) // 2] + b"another middle" + x[len(x) // 2 + 20 :]
+        script = K.delta_encode(x, y)
+        assert K.delta_apply(x, script) == y and 2 * len(script) < len(x)
+    ends = [R.randbytes(500) for _ in range(4)]
+    run = b"xyz" * 900
+    a, b = ends[0] + run + ends[1], b"q" + ends[0] + ends[2] + run + ends[3] + ends[1][9:] + b"q"
+    assert K.delta_apply(a, K.delta_encode(a, b)) == b and len(K.delta_encode(a, b)) < 1100
+    rows = [(1, "ab" * 500), (2, None), (3, "x" * 401), (4, "kurz"), (5, "日本 " * 200)]
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert differences(QUERIES["delta_script"](spark, str(tmp_path)), con, SQL["delta_script"]) == ""
