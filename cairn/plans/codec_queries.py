@@ -151,7 +151,10 @@ def codec_benchmark(spark, d):
 
     @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("method", T.StringType()), T.StructField("csize", T.LongType())])))
     def run(v: pa.Array) -> pa.Array:
-        rows = [[{"method": m, "csize": len(K.compress(x, n))} for m, n in methods.items()] + [{"method": "lz4", "csize": len(K.lz4_compress(x))}] for x in v.to_pylist()]
+        texts = v.to_pylist()
+        rows = []
+        for x, streams in zip(texts, K.compress_all(texts, list(methods.values()))):
+            rows.append([{"method": m, "csize": len(z)} for m, z in zip(methods, streams)] + [{"method": "lz4", "csize": len(K.lz4_compress(x))}])
         return pa.array(rows, pa.list_(pa.struct([("method", pa.string()), ("csize", pa.int64())])))
 
     out = documents(spark, d).select(F.length("content").cast("long").alias("size"), F.explode(run("content")).alias("c")).groupBy("c.method").agg(F.sum("size").alias("size"), F.sum("c.csize").alias("csize"))

@@ -336,3 +336,43 @@ def test_scripts_of_repeating_texts_are_short(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert differences(QUERIES["delta_script"](spark, str(tmp_path)), con, SQL["delta_script"]) == ""
+
+
+def plain_tokens(data, prefix, tries):
+    """Matches place after place, from a list of all places of three bytes."""
+    text, places, out, i = prefix + data, {}, [], len(prefix)
+    for k in range(len(text)):
+        places.setdefault(text[k : k + 3], []).append(k)
+    while i < len(text):
+        best = back = 0
+        for p in [p for p in places[text[i : i + 3]] if p < i][: -tries - 1 : -1]:
+            n = 0
+            while i - p <= K.MOST_DIST and n < K.MOST_LEN and i + n < len(text) and text[p + n] == text[i + n]:
+                n += 1
+            if n > best:
+                best, back = n, i - p
+        out.append((back, best) if best >= K.LEAST else (text[i], 0))
+        i += max(1, best)
+    return out
+
+
+def test_matches_of_many_texts_are_those_of_each(monkeypatch):
+    texts = [bytes(R.choices(b"abcd ", k=n)) for n in (0, 1, 2, 3, 700, 900)] + [b"x" * 700, bytes(600)]
+    known = [b"", b"abc", bytes(512), b"d a", b"", b"abcd" * 20, b"x", bytes(9)]
+    want = [[plain_tokens(x, p, t) for t in (4, 16)] for x, p in zip(texts, known)]
+    for places in (K.PLACES, 100):
+        monkeypatch.setattr(K, "PLACES", places)
+        got = K.matched(list(zip(known, texts)), [4, 16])
+        assert [[list(zip(*(v.tolist() for v in t))) for t in row] for row in got] == want
+        assert list(K.compress_all(texts, [2, 9], known)) == [[K.compress(x, n, p) for n in (2, 9)] for x, p in zip(texts, known)]
+
+
+def test_all_levels_of_a_text_take_no_step_for_each_try():
+    import time
+
+    words = ["".join(R.choices("etaoinshrdlu", k=R.randint(2, 8))) for _ in range(500)]
+    data = " ".join(R.choices(words, k=9000)).encode()
+    start = time.process_time()
+    streams = [K.compress(data, n) for n in range(2, 10)]
+    assert time.process_time() - start < 1.4
+    assert all(K.decompress(z, len(data), 10 if n >= 6 else n) == data for n, z in zip(range(2, 10), streams))
