@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..functions import codecs as K
 from ..operators import dedup as D
 from ..operators import transforms as X
-from ..operators.lineage import shared_dir
+from ..operators.lineage import shared_dir, written
 from ..sources import archives as A
 from .catalogue import BYTES, CDC, FNV32, FNV64, HEX, HUGE, TEXT, documents, table
 
@@ -172,7 +172,7 @@ def best_strides(spark, d):
 def _archived(items, key):
     """Texts (blob_id, content) in archives of ten files, written, listed and extracted again."""
     item = items.select(F.concat(F.lit("a"), F.expr("blob_id div 10")).alias("archive"), F.concat(F.lit("items/"), F.col("blob_id"), F.lit(".txt")).alias("name"), "content", F.lit(0).cast("long").alias("dos_time"))
-    made = A.create(item)
+    made = written(A.create(item))
     listed = A.list_entries(made).where("kind = 'file'").select("path", "seq", "name", "size")
     return listed.join(A.extract_files(made).select("path", "seq", "content"), ["path", "seq"]).select(F.regexp_extract("name", "([0-9]+)", 1).cast("long").alias(key), "size", F.decode("content", "UTF-8").alias("text"))
 

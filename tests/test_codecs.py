@@ -367,6 +367,28 @@ def test_matches_of_many_texts_are_those_of_each(monkeypatch):
         assert list(K.compress_all(texts, [2, 9], known)) == [[K.compress(x, n, p) for n in (2, 9)] for x, p in zip(texts, known)]
 
 
+def test_archives_of_short_files_take_no_step_for_each_byte():
+    import time
+
+    words = ["".join(R.choices("etaoinshrdlu", k=R.randint(2, 8))) for _ in range(500)]
+    files = [(f"f{i}", " ".join(R.choices(words, k=5000)).encode(), 0) for i in range(10)]
+    start = time.process_time()
+    z = A.build(files)
+    assert time.process_time() - start < 0.9
+    rows = A.entries(z)
+    assert [A.extract(z, r, rows) for r in rows if r["kind"] == "file"] == [c for _, c, _ in files]
+
+
+def test_archives_are_written_once(spark, tmp_path, monkeypatch):
+    from cairn.plans import codec_queries as Q
+
+    spark.createDataFrame([(i, "text " * i) for i in range(30)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    made = []
+    monkeypatch.setattr(Q.A, "list_entries", lambda df, f=Q.A.list_entries: made.append(df) or f(df))
+    assert Q.archive_documents(spark, str(tmp_path)).count() == 30
+    assert "FlatMapGroups" not in made[0]._jdf.queryExecution().toString()
+
+
 def test_all_levels_of_a_text_take_no_step_for_each_try():
     import time
 
