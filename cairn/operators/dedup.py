@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -187,14 +189,54 @@ def near_pairs(fps: DataFrame, within: int = 6, key: str = "blob_id", spare: int
     return joined.select(F.col("rep").alias("a"), F.col("rep_b").alias("b"), F.bit_count(x).cast("long").alias("distance"))
 
 
+#: Fingerprints of a block in near_classes, and the most blocks; with more fingerprints blocks grow.
+BLOCK, MOST_BLOCKS = 32_768, 64
+
+
+def links_between(a: np.ndarray, b: np.ndarray, within: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each of the distinct fingerprints a, then of b, the number of the others at most `within` bits away and the least
+    distance (255 at most). a and b may be the same; a fingerprint is no link of itself."""
+    n_a, n_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+    near_a, near_b = np.full(len(a), 255, np.uint8), np.full(len(b), 255, np.uint8)
+    for i in range(0, len(a), 64):
+        for j in range(0, len(b), 4096):
+            d = np.bitwise_count(a[i : i + 64, None] ^ b[None, j : j + 4096])
+            if a is b:
+                d[d == 0] = 255
+            at = np.flatnonzero(d <= within)
+            row, column = np.divmod(at, d.shape[1])
+            n_a[i : i + 64] += np.bincount(row, minlength=d.shape[0])
+            n_b[j : j + 4096] += np.bincount(column, minlength=d.shape[1])
+            np.minimum(near_a[i : i + 64], d.min(axis=1), out=near_a[i : i + 64])
+            np.minimum(near_b[j : j + 4096], d.min(axis=0), out=near_b[j : j + 4096])
+    return n_a, near_a, n_b, near_b
+
+
 def near_classes(fps: DataFrame, within: int = 6, key: str = "blob_id") -> DataFrame:
     """A row for each class of equal fingerprints: its least id, its rows, the number of other classes at most `within`
-    bits apart and the least distance (null without one). Links are counted where they are found, not gathered."""
-    fps = written(fps)
-    classes = fps.groupBy("fp").agg(F.min(key).alias("rep"), F.count("*").alias("n_rows"))
-    ends = near_pairs(fps, within, key).select(F.explode(F.array("a", "b")).alias("rep"), "distance")
-    linked = ends.groupBy("rep").agg(F.count("*").alias("n_links"), F.min("distance").alias("nearest"))
-    return classes.select("rep", "n_rows").join(linked, "rep", "left").select("rep", "n_rows", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "nearest")
+    bits apart and the least distance (null without one).
+
+    Fingerprints are dealt to blocks, and each pair of blocks is compared by one task, fingerprint by fingerprint: where texts
+    lie close together keys of equal bits leave half of all pairs to verify. No pair becomes a row: a task gives
+    a row for each fingerprint that has links there."""
+    classes = written(fps.groupBy("fp").agg(F.min(key).alias("rep"), F.count("*").alias("n_rows")))
+    blocks = min(MOST_BLOCKS, -(-classes.count() // BLOCK) or 1)
+
+    def run(t: pa.Table) -> pa.Table:
+        fp, block = np.asarray(t["fp"].combine_chunks()).view(np.uint64), np.asarray(t["block"].combine_chunks())
+        a = fp[block == block.min()]
+        b = fp[block == block.max()] if block.min() < block.max() else a
+        n_a, near_a, n_b, near_b = links_between(a, b, within)
+        both = [(a, n_a, near_a)] if a is b else [(a, n_a, near_a), (b, n_b, near_b)]
+        f, n, near = (np.concatenate(x) for x in zip(*both))
+        return pa.table({"fp": f[n > 0].view(np.int64), "n_links": n[n > 0], "nearest": near[n > 0].astype(np.int64)})
+
+    one, other = F.col("block"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+    dealt = classes.select("fp", F.pmod(F.xxhash64("fp"), F.lit(blocks)).cast("int").alias("block")).select("fp", "block", other)
+    tiles = dealt.select("fp", "block", (F.least(one, "other") * blocks + F.greatest(one, "other")).alias("tile"))
+    found = tiles.repartition(blocks * (blocks + 1) // 2, "tile").groupBy("tile").applyInArrow(run, "fp long, n_links long, nearest long")
+    linked = found.groupBy("fp").agg(F.sum("n_links").alias("n_links"), F.min("nearest").alias("nearest"))
+    return classes.join(linked, "fp", "left").select("rep", "n_rows", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "nearest")
 
 
 def root_order(df: DataFrame) -> DataFrame:

@@ -222,6 +222,9 @@ def simhash_documents(spark, d):
 
 def near_dup_classes(spark, d):
     """Classes of equal fingerprints of documents, each with the number of classes within 6 bits and the least distance."""
+    batches = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if batches not in spark.conf.getAll:  # whole documents: a batch is held by the JVM and by Python
+        spark.conf.set(batches, "1000")
     return D.near_classes(D.fingerprints(documents(spark, d)), 6).withColumnRenamed("rep", "doc_id")
 
 

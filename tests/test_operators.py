@@ -248,3 +248,17 @@ def test_near_pairs_match_brute_force(spark):
     rep = {f: fps.index(f) for f in fps}
     want = {(min(rep[a], rep[b]), max(rep[a], rep[b])) for a in rep for b in rep if a != b and bin(a ^ b).count("1") <= 4}
     assert got == want
+
+
+@pytest.mark.parametrize("block", [7, 60, 40_000])
+def test_links_are_counted_by_blocks_without_rows_of_pairs(spark, monkeypatch, block):
+    rng = random.Random(4)
+    base = [rng.getrandbits(64) for _ in range(8)] + [2**64 - 1, 0]
+    fps = [b ^ sum(1 << i for i in rng.sample(range(64), rng.randint(0, 6))) for b in base for _ in range(16)]
+    signed = [f - 2**64 if f >= 2**63 else f for f in fps]
+    monkeypatch.setattr(D, "BLOCK", block)
+    monkeypatch.setattr(D, "near_pairs", None)
+    got = {r.rep: (r.n_rows, r.n_links, r.nearest) for r in D.near_classes(spark.createDataFrame(list(enumerate(signed)), "blob_id long, fp long")).collect()}
+    gaps = {f: [bin(f ^ g).count("1") for g in set(fps) if g != f] for f in set(fps)}
+    assert got == {fps.index(f): (fps.count(f), sum(x <= 6 for x in v), min((x for x in v if x <= 6), default=None)) for f, v in gaps.items()}
+    assert D.near_classes(spark.createDataFrame([], "blob_id long, fp long")).count() == 0
