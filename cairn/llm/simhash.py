@@ -40,6 +40,8 @@ from .common import as_declared, bounded_join, drop_tables, encoded, materialise
 
 WORDS, SEED, DISTANCE = 4, 42, 4
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
+#: Small tables are written in one file for each so many rows of a bound that was counted.
+FILE_ROWS = 5000
 #: Fixed value: a generator polynomial of the binary Golay code of length 23.
 GENERATOR = 0xC75
 
@@ -147,20 +149,29 @@ def links(fps: DataFrame) -> DataFrame:
     return found
 
 
+def few_files(df: DataFrame, most: int) -> DataFrame:
+    """df, of at most `most` rows, in partitions of about FILE_ROWS rows, if it has more partitions: a file for each
+    partition of a shuffle would be thousands of files with a few rows, each with the buffers of its writer."""
+    return df.coalesce(max(1, -(-most // FILE_ROWS)))
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """node and root (the smallest node of its component) for every node of the links (u, v), u != v."""
     spark, kind, first = pairs.sparkSession, pairs.schema["u"].dataType, written()
-    edges = materialise(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "star")
+    edges = few_files(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), pairs.count())
+    edges = materialise(edges, "star")
     state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before, after = None, state(edges)
     while after[0] and after != before:
+        most = 2 * after[0]  # of rows of each table of this round
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.sum((F.col("v") > F.col("u")).cast("long")).alias("n")), "low")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.sum((F.col("v") > F.col("u")).cast("long")).alias("n"))
+        low = materialise(few_files(low, most), "low")
         large = skewed_join(both.where("v > u"), low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        large = materialise(large, "large-star")
-        low = materialise(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "low")
+        large = materialise(few_files(large, most), "large-star")
+        low = materialise(few_files(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), most), "low")
         small = skewed_join(large, low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = materialise(small.select("e.*").where("u != v").distinct(), "star")
+        edges = materialise(few_files(small.select("e.*").where("u != v").distinct(), most), "star")
         drop_tables(spark, first, -1)
         before, after = after, state(edges)
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
@@ -170,9 +181,11 @@ def components(pairs: DataFrame) -> DataFrame:
 def rooted(rows: DataFrame, *order: str) -> tuple[DataFrame, DataFrame]:
     """Nodes (fp, best, n) from rows with column fp: the least struct of the columns `order` and the number of rows;
     and, for the fingerprints with a link, node, root and best."""
-    nodes = materialise(rows.groupBy("fp").agg(F.min(F.struct(*order)).alias("best"), F.count("*").alias("n")), "nodes")
+    nodes = few_files(rows.groupBy("fp").agg(F.min(F.struct(*order)).alias("best"), F.count("*").alias("n")), rows.count())
+    nodes = materialise(nodes, "nodes")
     roots = components(links(nodes.select("fp")))
-    return nodes, materialise(nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "root", "best"), "rooted")
+    found = nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "root", "best")
+    return nodes, materialise(few_files(found, nodes.count()), "rooted")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -180,9 +193,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", fingerprints(F.col("text").cast("string")).alias("fp")).withColumn("none", F.col("doc_id").isNull())
     rows = materialise(rows, "fingerprints")
     nodes, linked = rooted(rows, "none", "doc_id")
-    least = materialise(linked.groupBy("root").agg(F.min("best").alias("least")), "least")
+    most = nodes.count()
+    least = materialise(few_files(linked.groupBy("root").agg(F.min("best").alias("least")), most), "least")
     named = bounded_join(linked.select("fp", "root"), least, ["root"]).select("fp", "least")
-    named = materialise(nodes.join(named, "fp", "left").select("fp", "n", F.coalesce("least", "best")["doc_id"].alias("component_id")), "named")
+    named = nodes.join(named, "fp", "left").select("fp", "n", F.coalesce("least", "best")["doc_id"].alias("component_id"))
+    named = materialise(few_files(named, most), "named")
     return skewed_join(rows.select("doc_id", "fp"), named, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -526,3 +526,37 @@ def test_bands_find_nine_of_ten_links():
     assert every >= 20 and found >= 0.9 * every
 
 
+
+
+def test_components_are_written_in_few_files(spark, monkeypatch):
+    from cairn.llm import simhash
+
+    files = {}
+
+    def counted(df, label, f=simhash.materialise):
+        out = f(df, label)
+        files.setdefault(label, []).append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(simhash, "materialise", counted)
+    rows = [(3 * i, f"the words of line {i % 400} and as many of {i % 400 // 2} as there are") for i in range(1200)]
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+    assert {n for label in ("nodes", "star", "rooted", "least", "named") for n in files[label]} <= {0, 1}
+    fps = {i: simhash.fingerprint(t) for i, t in rows}
+    of = {f: f for f in fps.values()}
+    while True:
+        new = {f: min(of[g] for g in of if bin(f ^ g).count("1") <= simhash.DISTANCE) for f in of}
+        if new == of:
+            break
+        of = new
+    least = {}
+    for i, f in fps.items():
+        least[of[f]] = min(least.get(of[f], i), i)
+    assert {r.doc_id: r.component_id for r in got} == {i: least[of[f]] for i, f in fps.items()}
